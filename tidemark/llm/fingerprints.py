@@ -59,7 +59,8 @@ def _densified(bins: Column) -> Column:
 
 def fingerprint(text: Column) -> Column:
     """Lower-case hex of the packed low bits, empty if the text has no words."""
-    digits = lambda d: F.concat_ws("", F.transform(d, lambda x: F.lower(F.hex(x.bitwiseAND(F.lit((1 << LOW_BITS) - 1))))))
+    # values are hashed with their bin first, so that copies of one value do not share one chance of equal low bits
+    digits = lambda d: F.concat_ws("", F.transform(d, lambda x, j: F.lower(F.hex(F.xxhash64(x, j).bitwiseAND(F.lit((1 << LOW_BITS) - 1))))))
     return let(_shingles(text), lambda h: F.when(F.size(h) == 0, F.lit("")).otherwise(digits(_densified(_least_of_bins(h)))))
 
 
