@@ -1,8 +1,67 @@
-"""Corpus pipeline."""
+"""From raw documents to token ids in five stages, each an operator of ``tidemark.llm``.
 
-STAGES = []
+A stage takes the documents that the one before it kept. Toxic documents, all but one of each group of
+near duplicates, and documents that hold benchmark passages go; secrets are replaced by a mark; the rest
+is encoded. Each stage's rows are written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import bpe, decontamination, minhash, secrets, toxicity
+from tidemark.llm.storage import fresh_path
+
+
+def _rest(docs: DataFrame) -> Column:
+    """All columns in one, so that none can clash with an operator's own."""
+    return F.struct(*docs.columns).alias("row")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs.select("doc_id", "text", _rest(docs)), model, keep=("row",)).where("score < 0.5").select("row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(docs)
+    return docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(docs.select("doc_id", "text", _rest(docs)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=("row",))
+    return found.where("NOT contaminated").select("row.*")
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ledger = secrets.BlobLedger(fresh_path(spark, "ledger"))
+    found = ledger.scan(docs.select("text", _rest(docs)), keep=("text", "row"))
+    clean = secrets.redact(F.col("text"), F.col("spans"))
+    changed = {"text": clean, "n_chars": F.when(F.size("spans") > 0, F.char_length(clean)).otherwise(F.col("row.n_chars")).cast("bigint")}
+    return found.select(*(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(docs, outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", drop_contaminated),
+    ("secret_scans", redact_secrets),
+    ("bpe", encode),
+]
+
+#: The trained and hashed stages have no SQL form; the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = fresh_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -102,17 +102,18 @@ def _hits(words: Column, found: Column, window: int) -> Column:
     return F.filter(F.transform(F.coalesce(found, F.array()), one), lambda x: F.size(x["at"]) > 0)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Per document row: id, text, n_words, positions hit (sorted), item_ids (sorted), contaminated."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per document row: id, text, ``keep`` columns, n_words, positions hit (sorted), item_ids (sorted), contaminated."""
     items = materialize(items_of(benchmark, item_id_col, item_text_col), "items")
     index = build_index(docs, items, id_col, text_col)
     met = alignments(index, items, window).join(small(items, items.count(), 100_000), "ik")
     met = met.groupBy("id", "tx").agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("found"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("tx", F.xxhash64("text"))
-    joined = rows.alias("d").join(met.alias("m"), F.col("d.id").eqNullSafe(F.col("m.id")) & (F.col("d.tx") == F.col("m.tx")), "left").select("d.id", "d.text", "m.found")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep))).withColumn("tx", F.xxhash64("text"))
+    joined = rows.alias("d").join(met.alias("m"), F.col("d.id").eqNullSafe(F.col("m.id")) & (F.col("d.tx") == F.col("m.tx")), "left").select("d.id", "d.text", *(f"d._k{i}" for i in range(len(keep))), "m.found")
     checked = let(alnum_words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.when(F.col("found").isNotNull(), _hits(w, F.col("found"), window)).alias("hits")))
-    out = joined.select(F.col("id").alias(id_col), F.col("text").alias("text"), checked.alias("c"))
+    kept = [F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)]
+    out = joined.select(F.col("id").alias(id_col), F.col("text").alias("text"), *kept, checked.alias("c"))
     hits = F.coalesce(F.col("c.hits"), F.array())
     positions = F.sort_array(F.array_distinct(F.flatten(F.transform(hits, lambda x: x["at"]))))
     listed = F.sort_array(F.array_distinct(F.filter(F.transform(hits, lambda x: x["item_id"]), lambda i: i.isNotNull())))
-    return out.select(id_col, "text", F.col("c.n_words").alias("n_words"), positions.alias("positions"), listed.alias("item_ids"), (F.size(hits) > 0).alias("contaminated"))
+    return out.select(id_col, "text", *keep, F.col("c.n_words").alias("n_words"), positions.alias("positions"), listed.alias("item_ids"), (F.size(hits) > 0).alias("contaminated"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontamination, fingerprints, secrets
+from tidemark.llm import bpe, decontamination, fingerprints, html_blocks, minhash, reputation, secrets, suffix_array, toxicity, warc
 from tidemark.llm.storage import fresh_path
 
 
@@ -27,6 +27,35 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_blocks.extract(_table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(_table(spark, sf_dir, "pages"), fresh_path(spark, "archives"))
+    return warc.read_archives(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.remove_repeats(_table(spark, sf_dir, "documents"), with_kept=False)
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    return reputation.filter_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"), bad)
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprints.fingerprint_edits(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -50,7 +79,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op8_fingerprints, op9_secrets, op10_bpe)}
+    return {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_html, op4_warc, op5_repeats, op6_minhash, op7_urls, op8_fingerprints, op9_secrets, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
