@@ -8,7 +8,7 @@ For a corpus, the suffixes that can take part are found by content: of every ``l
 least hashed ``ANCHOR``-gram (leftmost of equals) is its anchor, so equal windows have equal anchors at
 equal offsets.
 
-1. Anchors are dealt out by their hash and sorted; a task streams over them with one row held. An
+1. Equal contexts met in one chunk of text are settled there. Anchors are dealt out by their hash and sorted; a task streams over them with one row held. An
    occurrence whose whole anchored context (all windows of that anchor) equals the one before it repeats
    entirely; those whose anchor occurs again in another context go on; all others are done.
 2. The contexts that go on are cut from their texts in slices of ``SLICE_STARTS`` window starts, keyed by
@@ -33,14 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.storage import materialize
-from tidemark.llm.textbatch import PrefixHash, chunks, utf8
+from tidemark.llm.textbatch import PrefixHash, chunks, mix, utf8
 
 LEAST = 100
 ANCHOR = 32
 #: Window starts of a slice.
 SLICE_STARTS = 23
 #: Bytes of suffixes sorted at a time in one task.
-SORT_BYTES = 24 << 20
+SORT_BYTES = 12 << 20
+#: Text bytes whose anchors are worked out at a time.
+TEXT_BYTES = 512 << 10
 
 
 def enhanced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,11 +133,25 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndar
 def _anchor_rows(batch: pa.RecordBatch, least: int) -> Iterator[pa.RecordBatch]:
     data, offsets = utf8(batch.column("text"))
     ids, tx = batch.column("id"), batch.column("tx")
-    for a, b in chunks(offsets):
+    for a, b in chunks(offsets, TEXT_BYTES):
         doc, key, context, at, first, last = _anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], least)
         if len(doc):
             rows = pa.array(doc + a)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(context), ids.take(rows), tx.take(rows), *(pa.array(x.astype(np.int32)) for x in (at, first, last))], names=["key", "context", "id", "tx", "at", "first", "last"])
+            own_id, own_tx = ids.take(rows).to_numpy(), tx.take(rows).to_numpy()
+            # of equal contexts in this chunk only the first has to meet the corpus; the others are settled and dealt out evenly
+            order = np.lexsort((at, own_tx, own_id, context, key))
+            repeat = np.zeros(len(order), bool)
+            k, c, i, x, p = (v[order] for v in (key, context, own_id, own_tx, at))
+            repeat[1:] = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
+            twin = repeat.copy()
+            twin[1:] &= (i[1:] == i[:-1]) & (x[1:] == x[:-1]) & (p[1:] == p[:-1])
+            settled = np.zeros(len(order), bool)
+            settled[order] = repeat
+            key = np.where(settled, mix(context.view(np.uint64) ^ mix(own_id.view(np.uint64) + at.astype(np.uint64))).view(np.int64), key)
+            keep = np.ones(len(order), bool)
+            keep[order] = ~twin
+            got = [pa.array(key), pa.array(context), pa.array(own_id), pa.array(own_tx), *(pa.array(v.astype(np.int32)) for v in (at, first, last)), pa.array(settled)]
+            yield pa.RecordBatch.from_arrays(got, names=["key", "context", "id", "tx", "at", "first", "last", "settled"]).filter(pa.array(keep))
 
 
 class _Run:
@@ -168,7 +184,8 @@ def _repeats_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         if not batch.num_rows:
             continue
         same_key, same, again = run.compare(batch)
-        fresh = np.flatnonzero(~same)
+        settled = batch.column("settled").to_numpy(zero_copy_only=False)
+        fresh = np.flatnonzero(~same & ~settled)
         if len(fresh):
             linked = same_key[fresh]  # to the context before it
             if held is not None and (held_linked or linked[0]):
@@ -178,7 +195,7 @@ def _repeats_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             if go_on[:-1].any():
                 yield _flag(batch.take(pa.array(fresh[:-1][go_on[:-1]])), False)
             held, held_linked = _flag(batch.slice(int(fresh[-1]), 1), False), bool(linked[-1])
-        whole = same & ~again
+        whole = (same & ~again) | settled
         if whole.any():
             yield _flag(batch.filter(pa.array(whole)), True)
     if held is not None and held_linked:
@@ -193,7 +210,7 @@ def _slices(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         bounds = asked.offsets.to_numpy()
         at_all, first_all, last_all = (x.to_numpy().astype(np.int64) for x in asked.flatten().flatten())
         bounds = bounds - bounds[0]
-        for a, b in chunks(offsets):
+        for a, b in chunks(offsets, TEXT_BYTES):
             part = slice(bounds[a], bounds[b])
             at, first, last = at_all[part], first_all[part], last_all[part]
             if not len(at):
@@ -311,18 +328,26 @@ def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(hashes, pa.string()), pa.array(cols[3], pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def _released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; what Arrow holds but no longer uses goes back to the system now and then."""
+    for k, batch in enumerate(batches):
+        yield batch
+        if k % 16 == 15:
+            pa.default_memory_pool().release_unused()
+
+
 _NULL_ID = -(1 << 63)
 
 
 def repeated_ranges(rows: DataFrame, least: int = LEAST) -> DataFrame:
     """rows (id, tx, text) to (id, tx, a, b): byte ranges covered by a ``least``-byte string that also starts earlier."""
-    found = rows.mapInArrow(lambda bs: (x for b in bs for x in _anchor_rows(b, least)), "key bigint, context bigint, id bigint, tx bigint, at int, first int, last int")
+    found = rows.mapInArrow(lambda bs: _released(x for b in bs for x in _anchor_rows(b, least)), "key bigint, context bigint, id bigint, tx bigint, at int, first int, last int, settled boolean")
     ordered = found.repartition("key").sortWithinPartitions("key", "context", "id", "tx", "at")
     seen = materialize(ordered.mapInArrow(_repeats_in_order, "id bigint, tx bigint, at int, first int, last int, whole boolean"), "anchors")
     asked = seen.where("NOT whole").groupBy("id", "tx").agg(F.collect_list(F.struct("at", "first", "last")).alias("open"))
-    cut = rows.join(asked, ["id", "tx"]).select("id", "tx", "text", "open").mapInArrow(lambda bs: _slices(bs, least), "key bigint, context bigint, id bigint, tx bigint, start int, bytes binary")
+    cut = rows.join(asked, ["id", "tx"]).select("id", "tx", "text", "open").mapInArrow(lambda bs: _released(_slices(bs, least)), "key bigint, context bigint, id bigint, tx bigint, start int, bytes binary")
     ordered = cut.repartition("key").sortWithinPartitions("key", "context", "id", "tx", "start")
-    marks = ordered.mapInArrow(lambda bs: _slice_marks(bs, least), "id bigint, tx bigint, a int, b int")
+    marks = ordered.mapInArrow(lambda bs: _released(_slice_marks(bs, least)), "id bigint, tx bigint, a int, b int")
     return materialize(seen.where("whole").select("id", "tx", F.col("first").alias("a"), (F.col("last") + least).alias("b")).unionByName(marks), "marks")
 
 
