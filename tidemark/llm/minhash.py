@@ -1,11 +1,13 @@
 """Near-duplicate groups by min-max hashing: each permutation gives its least and its greatest value.
 
-1. One pass makes, per document, the number of distinct shingles, a 128-bit digest of the set, band keys
-   over the min-max signature and a byte per signature entry (the sketch).
+1. One pass makes, per document, the number of distinct shingles, a 128-bit digest of the set and band
+   keys over the min-max signature.
 2. Equal sets are one class, led by the smallest id; only leaders go on.
 3. Leaders meet the least leader of each of their band buckets; the pairs are checked on full sets.
-4. Where a bucket still spans several components, the pairs between components whose sketches agree
-   widely enough are checked as well, so links that do not pass through a bucket's least member count.
+4. Two documents of one bucket that both fail against its least leader can still be alike. Where those
+   who met one leader lie in several components, they are compared with one another on full sets, dealt
+   out in blocks of ``BLOCK`` documents; a task returns the links that join components, at most one less
+   than its documents, never its pairs.
 5. Components of the checked links by alternating stars.
 
 Rows per band are fixed and bands follow from the threshold, so that a pair at the threshold shares no
@@ -27,13 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import connected_components
+from tidemark.llm.native import small
 from tidemark.llm.storage import materialize
 from tidemark.llm.textbatch import LOWER, NONSPACE, PrefixHash, chunks, mix, utf8, words
 
 ROWS = 5
 MISS = 1e-7
-#: Standard deviations below the threshold at which a sketch still calls for a full check.
-SLACK = 4.5
+#: Documents of a block; a task compares two blocks at most.
+BLOCK = 4_000
 
 
 def bands_for(percent: int) -> int:
@@ -97,34 +100,39 @@ def _sketch(batch: pa.RecordBatch, width: int, bands: int) -> Iterator[pa.Record
         key = np.broadcast_to(tags, (len(some), bands)).copy()
         for r in range(ROWS):
             key = mix(key ^ signature[:, r::ROWS])
-        low = (mix(signature) & np.uint64(255)).astype(np.uint8)
         counts = np.where(n > 0, bands, 0)
         keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(key.reshape(-1).view(np.int64)))
-        sketches: list[bytes | None] = [None] * (b - a)
-        for j, row in zip(some.tolist(), low, strict=True):
-            sketches[j] = row.tobytes()
-        yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(n), pa.array(digest[0]), pa.array(digest[1]), keys, pa.array(sketches, pa.binary())], names=["id", "n", "d1", "d2", "keys", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(n), pa.array(digest[0]), pa.array(digest[1]), keys], names=["id", "n", "d1", "d2", "keys"])
+
+
+def _set_of(text: str, width: int) -> np.ndarray:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return distinct_sets(LOWER[raw], np.array([0, len(raw)]), width)[0]
+
+
+def _needed(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts of the given ids; a list of ids within the broadcast limit keeps all other texts out of the shuffle."""
+    ids = materialize(ids.distinct(), "ids")
+    return texts.join(small(ids, ids.count()), "id", "left_semi")
 
 
 def _checked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold; texts: id, text."""
     kind = pairs.schema["a"].dataType.simpleString()
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    text_b = _needed(texts, pairs.select(F.col("b").alias("id"))).select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    text_a = _needed(texts, pairs.select(F.col("a").alias("id"))).select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    both = pairs.join(text_b, "b").join(text_a, "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
 
-        def set_of(text: str) -> np.ndarray:
-            raw = np.frombuffer(text.encode(), np.uint8)
-            return distinct_sets(LOWER[raw], np.array([0, len(raw)]), width)[0]
-
         for batch in batches:
             keep = []
             for at in range(batch.num_rows):
                 text = batch.column("text_a")[at].as_py()
                 if text != last[0]:
-                    last = (text, set_of(text))
-                other = set_of(batch.column("text_b")[at].as_py())
+                    last = (text, _set_of(text, width))
+                other = _set_of(batch.column("text_b")[at].as_py(), width)
                 shared = len(np.intersect1d(last[1], other, assume_unique=True))
                 if 100 * shared >= percent * (len(last[1]) + len(other) - shared):
                     keep.append(at)
@@ -133,46 +141,76 @@ def _checked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-def _between_components(rows: DataFrame, kind: str, percent: int, entries: int) -> DataFrame:
-    """rows (key, id, component, sketch), those of a key together: pairs of different components with agreeing sketches."""
-    share = percent / 100
-    least = share - SLACK * math.sqrt(share * (1 - share) / entries)
-
-    def pairs(ids: np.ndarray, parts: np.ndarray, low: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        block = max(1, 8_000_000 // (len(ids) * entries))
-        for s in range(0, len(ids), block):
-            alike = (low[s : s + block, None, :] == low[None, :, :]).mean(axis=2, dtype=np.float32) >= least
-            i, j = np.nonzero(alike & (parts[s : s + block, None] != parts[None, :]))
-            up = j > i + s
-            yield ids[i[up] + s], ids[j[up]]
+def joining_links(sets: list[np.ndarray], parts: np.ndarray, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Pairs (i, j) of sets at the threshold that join the given parts, as few as join them; ``side``: only pairs of different sides count.
+
+    Sets are held as differences from the elements that most of them share, which keeps the lists of who
+    differs in an element short in a group of near copies; overlaps of differences give exact overlaps.
+    """
+    g = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    element, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(g), sizes)
+    usual = np.bincount(inverse, minlength=len(element)) * 2 > g
+    common = np.flatnonzero(usual)
+    rank = np.cumsum(usual) - 1
+    has = np.zeros((g, len(common)), bool)
+    inside = usual[inverse]
+    has[row[inside], rank[inverse[inside]]] = True
+    lack_row, lack = np.nonzero(~has)
+    row, what = np.concatenate([row[~inside], lack_row]), np.concatenate([inverse[~inside], common[lack]])
+    delta = np.bincount(row, minlength=g)
+    shared = np.bincount(what, minlength=len(element)) > 1
+    row, what = row[shared[what]], what[shared[what]]
+    by_row = np.argsort(row, kind="stable")
+    mine = np.split(what[by_row], np.cumsum(np.bincount(row, minlength=g))[:-1])
+    by_what = np.argsort(what, kind="stable")
+    holders, bound = row[by_what], np.concatenate([[0], np.cumsum(np.bincount(what, minlength=len(element)))])
+    root = np.unique(parts, return_inverse=True)[1]
+    out: list[tuple[int, int]] = []
+    for i in range(g - 1):
+        other = root != root[i]
+        other[: i + 1] = False
+        if side is not None:
+            other &= side != side[i]
+        if not other.any():
+            continue
+        lists = [holders[bound[e] : bound[e + 1]] for e in mine[i].tolist()]
+        both = np.bincount(np.concatenate(lists), minlength=g) if lists else np.zeros(g, np.int64)
+        apart = delta + delta[i] - 2 * both
+        total = sizes + sizes[i]
+        linked = np.flatnonzero(other & (100 * (total - apart) >= percent * (total + apart)))
+        if len(linked):
+            new, first = np.unique(root[linked], return_index=True)
+            out += [(i, int(j)) for j in linked[first]]
+            root[np.isin(root, new)] = root[i]
+    return out
+
+
+def _compare_blocks(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """rows (a, lo, hi, block, id, component, text), those of a task (a, lo, hi) together: links (a, b) that join components."""
+
+    def solve(group: list[tuple]) -> Iterator[pa.RecordBatch]:
+        group = sorted(set(group))
+        lo, hi = group[0][1], group[0][2]
+        sets = [_set_of(x[6], width) for x in group]
+        side = None if lo == hi else np.array([x[3] == lo for x in group])
+        found = joining_links(sets, np.array([x[5] for x in group]), side, percent)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([group[i][4] for i, _ in found], pa.int64()), pa.array([group[j][4] for _, j in found], pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(key: int, group: list) -> Iterator[pa.RecordBatch]:
-            ids, parts, low = (np.concatenate(x) for x in zip(*group, strict=True))
-            order = np.argsort(ids, kind="stable")
-            for a, b in pairs(ids[order], parts[order], low[order]):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        open_key, group = None, []
+        group: list[tuple] = []
         for batch in batches:
-            key = batch.column("key").to_numpy()
-            ids, parts = batch.column("id").to_numpy(), batch.column("component").to_numpy()
-            raw, _ = utf8(batch.column("sketch"))
-            low = raw.reshape(-1, entries)
-            cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if s == e:
-                    continue
-                if group and key[s] != open_key:
-                    yield from done(open_key, group)
+            for x in zip(*(batch.column(c).to_pylist() for c in ("a", "lo", "hi", "block", "id", "component", "text")), strict=True):
+                if group and group[0][:3] != x[:3]:
+                    yield from solve(group)
                     group = []
-                open_key = key[s]
-                group.append((ids[s:e], parts[s:e], low[s:e]))
+                group.append(x)
         if group:
-            yield from done(open_key, group)
+            yield from solve(group)
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return rows.repartition("a", "lo", "hi").sortWithinPartitions("a", "lo", "hi").mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -184,23 +222,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             yield from _sketch(batch, shingle_words, bands)
 
-    found = materialize(rows.mapInArrow(run, "id bigint, n bigint, d1 bigint, d2 bigint, keys array<bigint>, sketch binary"), "sketches")
+    found = materialize(rows.mapInArrow(run, "id bigint, n bigint, d1 bigint, d2 bigint, keys array<bigint>"), "signatures")
     linked = found.where("n > 0 AND id IS NOT NULL")
     classes = materialize(linked.groupBy("d1", "d2").agg(F.min("id").alias("leader")), "classes")
     leaders = linked.join(classes.select("d1", "d2", F.col("leader").alias("id")), ["d1", "d2", "id"], "left_semi").dropDuplicates(["id", "d1", "d2"])
     entries = leaders.select("id", F.explode("keys").alias("key"))
     least = entries.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1").select("key", "a")
-    buckets = materialize(entries.join(least, "key"), "buckets")
-    pairs = buckets.where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    buckets = entries.join(least, "key")
+    pairs = materialize(buckets.where("a <> id").select("a", F.col("id").alias("b")).distinct(), "pairs")
     texts = rows.where("id IS NOT NULL AND text IS NOT NULL")
     links = materialize(_checked(pairs, texts, shingle_words, percent), "links")
     parts = connected_components(links)
-    labelled = buckets.join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    wide = labelled.join(open_keys, "key").join(leaders.select("id", "sketch").dropDuplicates(["id"]), "id").select("key", "id", "component", "sketch")
-    more = materialize(_between_components(wide, "bigint", percent, bands * ROWS).join(links, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        extra = materialize(_checked(more, texts, shingle_words, percent), "links")
+    met = pairs.join(parts, pairs["b"] == parts["id"], "left").select("a", "b", F.coalesce("component", "b").alias("component"))
+    open_leaders = met.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("a", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    wide = materialize(met.join(open_leaders, "a"), "open")
+    wide = wide.join(_needed(texts, wide.select(F.col("b").alias("id"))).withColumnRenamed("id", "b"), "b").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    wide = wide.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    wide = wide.select("a", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", F.col("b").alias("id"), "component", "text")
+    extra = materialize(_compare_blocks(wide, shingle_words, percent), "links")
+    if not extra.isEmpty():
         parts = connected_components(links.unionByName(extra))
     led = classes.join(parts.select(F.col("id").alias("leader"), "component"), "leader", "left").select("d1", "d2", F.coalesce("component", "leader").alias("component"))
     out = found.select("id", "n", "d1", "d2").join(led, ["d1", "d2"], "left")
