@@ -72,8 +72,8 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), (a == b).cast("double")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), guess)))
 
 
-def with_next(rows: DataFrame, order: str, carry: dict[str, Column], run_rows: int = RUN_ROWS) -> DataFrame:
-    """``rows`` with ``carry`` of the next row by ``order`` (then by text) as next_<name>; the last row is followed by the first.
+def with_next(rows: DataFrame, order: str, carry: dict[str, Column], derive: dict[str, Column], run_rows: int = RUN_ROWS) -> DataFrame:
+    """``rows`` and the ``derive`` columns, worked out once per row, with ``carry`` of the next row by ``order`` (then by text) as next_<name>; the last row is followed by the first.
 
     Rows are cut into runs of about ``run_rows`` by approximate quantiles of ``order``; the first row of a
     run is also sent to the end of the run before. Only run numbers and one id per run are gathered.
@@ -93,7 +93,7 @@ def with_next(rows: DataFrame, order: str, carry: dict[str, Column], run_rows: i
     ends = spark.createDataFrame(before, f"some boolean, key {rows.schema[order].dataType.simpleString()}, tx bigint, prev int")
     ghosts = rows.join(F.broadcast(ends), key.eqNullSafe(F.col("key")) & (F.col("_tx") == F.col("tx"))).select(*[c for c in rows.columns if c != "_run"], F.col("prev").alias("_run"), F.lit(True).alias("_ghost"))
     ghosts = ghosts.dropDuplicates([order, "_tx", "_run"])
-    both = rows.withColumn("_ghost", F.lit(False)).unionByName(ghosts)
+    both = rows.withColumn("_ghost", F.lit(False)).unionByName(ghosts).withColumns(derive)
     w = Window.partitionBy("_run").orderBy("_ghost", key.asc_nulls_first(), "_tx")
     for name, value in carry.items():
         both = both.withColumn(f"next_{name}", F.lead(value).over(w))
@@ -111,9 +111,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Per document: n_chars, edited text, both fingerprints and the likeness to the edited text's and the next document's."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    # a text's fingerprint is worked out once, before the neighbours meet
-    rows = rows.select("id", "text", fingerprint(F.col("text")).alias("fp"))
-    near = with_next(rows, "id", {"text": F.col("text"), "fp": F.col("fp")})
+    near = with_next(rows, "id", {"text": F.col("text"), "fp": F.col("fp")}, {"fp": fingerprint(F.col("text"))})
     near = near.select("id", "text", "fp", "next_fp", edited_text(F.col("text"), F.col("next_text")).alias("edited"))
     near = near.withColumn("edited_fp", fingerprint(F.col("edited")))
     return near.select(F.col("id").alias(id_col), F.char_length("text").cast("long").alias("n_chars"), F.col("edited").alias("edited_text"), F.col("fp").alias("fingerprint"), F.col("edited_fp").alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
