@@ -14,6 +14,7 @@ give repeated results; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -57,14 +58,13 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(out).astype(np.int64), np.concatenate(owner)
 
 
-def _fit(texts: list[str | None], labels: list[int], how: Ftrl) -> tuple[np.ndarray, np.ndarray, float]:
-    """Coordinates with a weight, their weights, and the bias."""
-    rows = []
-    for t in texts:
-        raw = np.frombuffer((t or "").encode(), np.uint8)
-        rows.append(np.unique(features(raw, np.array([0, len(raw)]))[0]))
-    common = np.bincount(np.concatenate(rows), minlength=1 << BITS) >= how.min_rows if rows else np.zeros(1 << BITS, bool)
-    rows = [r[common[r]] for r in rows]
+def _fit(rows: list[np.ndarray], labels: list[int], how: Ftrl) -> tuple[np.ndarray, np.ndarray, float]:
+    """rows: distinct coordinates of each text. Coordinates with a weight, their weights, and the bias."""
+    seen_in = np.zeros(1 << BITS, np.int32)
+    for r in rows:
+        seen_in[r] += 1
+    for i, r in enumerate(rows):
+        rows[i] = r[seen_in[r] >= how.min_rows]
     y = np.asarray(labels, float)
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     bias, seen = float(np.log((y.sum() + 0.1) / (len(y) - y.sum() + 1.0))), 1.0
@@ -104,13 +104,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(rows), "id").select("id", "text", "label")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, ys = [], [], []
-        for b in batches:
-            ids += b.column("id").to_pylist()
-            texts += b.column("text").to_pylist()
-            ys += b.column("label").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (str(ids[i]), texts[i] or ""))
-        at, w, bias = _fit([texts[i] for i in order], [ys[i] for i in order], how)
+        keys, rows = [], []
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            keys += [(str(i), zlib.crc32((t or "").encode()), y) for i, t, y in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "label")), strict=True)]
+            for k in range(batch.num_rows):
+                one = data[offsets[k] : offsets[k + 1]]
+                rows.append(np.unique(features(one, np.array([0, len(one)]))[0]).astype(np.int32))
+            pa.default_memory_pool().release_unused()
+        order = sorted(range(len(keys)), key=keys.__getitem__)
+        at, w, bias = _fit([rows[i] for i in order], [keys[i][2] for i in order], how)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(w, bias))], names=["at", "w"])
 
     model = joined.repartition(1).mapInArrow(fit, "at bigint, w double").collect()
@@ -140,6 +143,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col:
                 got[a:b] += np.bincount(once >> BITS, table[once & ((1 << BITS) - 1)], b - a)
             names = [c for c in batch.schema.names if keep or c == "_id"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(1.0 / (1.0 + np.exp(-np.clip(got, -35, 35))))], names=[*names, "score"])
+            pa.default_memory_pool().release_unused()
 
     out = rows.mapInArrow(run, schema + ", score double").withColumnRenamed("_id", id_col)
     if keep:
