@@ -110,7 +110,7 @@ def read_archive(source) -> Iterator[bytes]:
         if frame.eof:
             yield b"".join(out)
             out, frame = [], coder.decompressobj()
-    if out and any(out):
+    if out:
         raise ValueError("the last record is cut off")
 
 
