@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import once
+
 # What a JSON token of each kind looks like.
 _TOKENS = {"text": r'^"(?:[^"\\]|\\.)*"$', "integer": r"^-?(?:0|[1-9][0-9]*)$", "number": r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?$"}
 
@@ -64,19 +66,30 @@ class Contract:
     def validate(self, rows: DataFrame, raw: str = "raw_value") -> DataFrame:
         """``rows`` with ``parsed`` (a struct) and ``rejection_reasons``."""
         names = [f.name for f in self.fields]
-        keys, parsed = F.col("_keys"), F.col("parsed")
-        text = F.col(raw)
-        rows = rows.withColumn("_keys", F.map_keys(F.from_json(text, "map<string,string>"))).withColumn("parsed", F.from_json(text, ", ".join(f"{f.name} {f.type}" for f in self.fields)))
-        # validity of every field in one projection, used by all rules
-        rows = rows.withColumn("_ok", F.struct(*(f.valid(text, parsed[f.name]).alias(f.name) for f in self.fields)))
-        is_object = keys.isNotNull()
+        ddl = ", ".join(f"{f.name} {f.type}" for f in self.fields)
         expected = F.array(*map(F.lit, names))
+
+        def judged(text: Column) -> Column:
+            read = F.struct(F.map_keys(F.from_json(text, "map<string,string>")).alias("keys"), F.from_json(text, ddl).alias("parsed"))
+
+            def fields(p: Column) -> Column:
+                ok = F.struct(*(f.valid(text, p["parsed"][f.name]).alias(f.name) for f in self.fields))
+                return once(ok, lambda ok: F.struct(p["parsed"].alias("parsed"), self._reasons(p["keys"], p["parsed"], ok, expected).alias("reasons")))
+
+            return once(read, fields)
+
+        # the payload is parsed once and every field is judged once; the rules read the results
+        rows = rows.withColumn("_judged", once(F.col(raw), judged))
+        return rows.withColumns({"parsed": F.col("_judged.parsed"), "rejection_reasons": F.col("_judged.reasons")}).drop("_judged")
+
+    def _reasons(self, keys: Column, parsed: Column, ok: Column, expected: Column) -> Column:
+        is_object = keys.isNotNull()
         broken = [("malformed_json", ~is_object), ("missing_required_field", F.size(F.array_except(expected, keys)) > 0), ("unexpected_field", F.size(F.array_except(keys, expected)) > 0)]
-        broken += [(f"invalid_{f.name}", ~F.col(f"_ok.{f.name}")) for f in self.fields]
-        broken += [(name, F.col(f"_ok.{lo}") & F.col(f"_ok.{hi}") & (parsed[hi] <= parsed[lo])) for name, lo, hi in self.above]
-        broken += [(name, F.col(f"_ok.{f}") & ~F.col(key).eqNullSafe(parsed[f])) for name, key, f in self.keyed]
+        broken += [(f"invalid_{f.name}", ~ok[f.name]) for f in self.fields]
+        broken += [(name, ok[lo] & ok[hi] & (parsed[hi] <= parsed[lo])) for name, lo, hi in self.above]
+        broken += [(name, ok[f] & ~F.col(key).eqNullSafe(parsed[f])) for name, key, f in self.keyed]
         reasons = F.array(*(F.when(F.coalesce(c if i == 0 else is_object & c, F.lit(False)), F.lit(name)) for i, (name, c) in enumerate(broken)))
-        return rows.withColumn("rejection_reasons", F.array_sort(F.array_distinct(F.filter(reasons, lambda r: r.isNotNull())))).drop("_keys", "_ok")
+        return F.sort_array(F.array_distinct(F.filter(reasons, lambda r: r.isNotNull())))
 
 
 def valid_rows(validated: DataFrame) -> DataFrame:

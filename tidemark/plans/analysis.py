@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import drift, evaluation, profile, sequence
+from tidemark.operators import drift, evaluation, modelling, profile, sequence
 from tidemark.plans.registry import registry
 
 QUERIES, SQL, query = registry()
@@ -90,7 +90,7 @@ def id_coverage(orders: DataFrame) -> DataFrame:
     return profile.id_gaps(orders, "o_custkey", 0, 1499)
 
 
-_REF, _CUR = "event_id < 5000", "event_id >= 5000"
+_REF, _CUR = "event_id % 2 = 0", "event_id % 2 = 1"
 _Q = "[" + ", ".join(str(i / 10) for i in range(11)) + "]"
 _SIDES = f"r AS (SELECT value AS x FROM events WHERE {_REF}), c AS (SELECT value * 1.1 AS x FROM events WHERE {_CUR})"
 _PSI = f"""WITH {_SIDES}, e AS (SELECT list_sort(list_distinct(quantile_cont(x, {_Q}))) AS edges FROM r), i AS (SELECT edges[2:len(edges) - 1] AS inner_edges FROM e),
@@ -242,7 +242,31 @@ def lexical_retrieval(documents: DataFrame) -> DataFrame:
     return sequence.retrieve(documents, _QUERY, "source", "text", "doc_id", 10)
 
 
-@query("SELECT a.avg_b - a.avg_a AS delta_avg FROM (SELECT round(avg(value) FILTER (WHERE event_id < 5000), 4) AS avg_a, round(avg(value) FILTER (WHERE event_id >= 5000), 4) AS avg_b FROM events) a WHERE false UNION ALL SELECT round(round(avg(value) FILTER (WHERE event_id >= 5000), 4) - round(avg(value) FILTER (WHERE event_id < 5000), 4), 6) FROM events")
+@query("SELECT a.avg_b - a.avg_a AS delta_avg FROM (SELECT round(avg(value) FILTER (WHERE event_id % 2 = 0), 4) AS avg_a, round(avg(value) FILTER (WHERE event_id % 2 = 1), 4) AS avg_b FROM events) a WHERE false UNION ALL SELECT round(round(avg(value) FILTER (WHERE event_id % 2 = 1), 4) - round(avg(value) FILTER (WHERE event_id % 2 = 0), 4), 6) FROM events")
 def metric_deltas(events: DataFrame) -> DataFrame:
     side = lambda w: events.where(w).agg(F.round(F.avg("value"), 4).alias("avg"))
     return evaluation.metric_deltas(side(_REF), side(_CUR), ["avg"])
+
+
+@query("SELECT round(avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END), 6) AS prior_probability, round(count(*) FILTER (WHERE quality <> 1) / nullif(count(*) FILTER (WHERE quality = 1), 0)::DOUBLE, 6) AS positive_weight FROM labels")
+def class_prior(labels: DataFrame) -> DataFrame:
+    return modelling.prior(labels, "quality")
+
+
+def _training(labels: DataFrame, documents: DataFrame) -> DataFrame:
+    rows = labels.join(documents.select("doc_id", "lang", "n_chars"), "doc_id")
+    return rows.select("doc_id", "quality", "lang", F.col("n_chars").cast("double").alias("n_chars"), F.log1p("n_chars").alias("log_chars"))
+
+
+@query()
+def out_of_fold_scores(labels: DataFrame, documents: DataFrame) -> DataFrame:
+    make = lambda: modelling.pipeline("logistic", ["lang"], ["n_chars", "log_chars"], "quality")
+    scored = modelling.out_of_fold(_training(labels, documents), make, "quality", _mix(), ["doc_id"], 3)
+    return modelling.predictions(scored, 0.5)
+
+
+@query()
+def isolation_scores(lineitem: DataFrame) -> DataFrame:
+    cols = ["l_quantity", "l_extendedprice", "l_discount"]
+    sample = lineitem.select(*cols).where(F.pmod(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey"), F.lit(97)) == 0).limit(5_000).toPandas().to_numpy(float)
+    return modelling.isolation_scores(lineitem.select("l_orderkey", "l_linenumber", *cols), modelling.fit_isolation(sample), cols)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import contract, dedup, summary
 from tidemark.plans.registry import registry
+from tidemark.sources import simulator
+from tidemark.streaming import bronze
 
 QUERIES, SQL, query = registry()
 
@@ -221,3 +223,14 @@ def seed_fleet(spark) -> DataFrame:
 @query(f"SELECT user_id, event_id, ts, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def latest_per_entity(events: DataFrame) -> DataFrame:
     return dedup.latest(events, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "ts", "event_type", "value")
+
+
+@query()
+def simulated_telemetry(spark) -> DataFrame:
+    return simulator.events(spark, 10, 100)
+
+
+@query("SELECT event_id AS kafka_offset, CAST(user_id AS VARCHAR) AS kafka_key, props AS raw_value, sha256(props) AS payload_sha256 FROM events")
+def bronze_projection(events: DataFrame) -> DataFrame:
+    log = events.select(F.lit("telemetry").alias("topic"), (F.col("user_id") % 3).alias("partition"), F.col("event_id").alias("offset"), F.col("ts").alias("timestamp"), F.encode(F.col("user_id").cast("string"), "UTF-8").alias("key"), F.encode("props", "UTF-8").alias("value"))
+    return bronze.bronze(log).select("kafka_offset", "kafka_key", "raw_value", "payload_sha256")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Sensor, start, step, least, most.
@@ -15,8 +15,11 @@ def events(spark: SparkSession, machines: int, per_machine: int, seed: int = 42,
     code = F.concat(F.lit("MCH-"), F.lpad(F.col("m").cast("string"), 4, "0"))
     unit = lambda i: F.pmod(F.xxhash64(F.lit(seed), "m", i, F.lit("walk")), F.lit(2001)) / 1000 - 1
     out = rows.select(code.alias("machine_code"), F.col("n").cast("bigint").alias("sequence_number"), (F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("n") - 1) * interval_s)).alias("event_time"), "m", "n")
-    for k, (name, first, step, least, most) in enumerate(_SENSORS):
-        walk = F.aggregate(F.sequence(F.lit(1), F.col("n")), F.lit(float(first)), lambda a, i, s=step, lo=least, hi=most, k=k: F.greatest(F.lit(lo), F.least(F.lit(hi), a + s * unit(i * 31 + k))))
+    def walk_of(k: int, first: float, step: float, least: float, most: float) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.col("n")), F.lit(first), lambda a, i: F.greatest(F.lit(least), F.least(F.lit(most), a + step * unit(i * 31 + k))))
+
+    for k, (name, *how) in enumerate(_SENSORS):
+        walk = walk_of(k, *how)
         out = out.withColumn(name, F.round(walk, 3))
     digest = F.sha1(F.concat_ws("|", F.lit("1.0"), "machine_code", "sequence_number", "event_time"))
     part = lambda a, n: F.substring(digest, a, n)
