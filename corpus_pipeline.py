@@ -14,14 +14,18 @@ from tidemark.llm import bpe, decontamination, minhash, secrets, toxicity
 from tidemark.llm.storage import fresh_path
 
 
-def _rest(docs: DataFrame) -> Column:
-    """All columns in one, so that none can clash with an operator's own."""
-    return F.struct(*docs.columns).alias("row")
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all columns but the text in one, so that none can clash with an operator's own."""
+    return docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c != "text")).alias("row"))
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    return rows.select(*(changed.get(c, F.col("text") if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs.select("doc_id", "text", _rest(docs)), model, keep=("row",)).where("score < 0.5").select("row.*")
+    return _unpacked(toxicity.score(_packed(docs), model, keep=("row",)).where("score < 0.5"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,16 +34,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontamination.decontaminate(docs.select("doc_id", "text", _rest(docs)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=("row",))
-    return found.where("NOT contaminated").select("row.*")
+    found = decontamination.decontaminate(_packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=("row",))
+    return _unpacked(found.where("NOT contaminated"), docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ledger = secrets.BlobLedger(fresh_path(spark, "ledger"))
-    found = ledger.scan(docs.select("text", _rest(docs)), keep=("text", "row"))
+    found = ledger.scan(_packed(docs), keep=("text", "row"))
     clean = secrets.redact(F.col("text"), F.col("spans"))
-    changed = {"text": clean, "n_chars": F.when(F.size("spans") > 0, F.char_length(clean)).otherwise(F.col("row.n_chars")).cast("bigint")}
-    return found.select(*(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    changed = {"text": clean}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.size("spans") > 0, F.char_length(clean)).otherwise(F.col("row.n_chars")).cast("bigint")
+    return _unpacked(found, docs, **changed)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
