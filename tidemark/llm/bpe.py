@@ -21,8 +21,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.textbatch import give_back
+
 #: Words kept between batches by one worker; beyond it the memory starts anew (results do not change).
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: Bytes of distinct words merged at a time.
 MERGE_BYTES = 1 << 20
 _END = "</w>"
@@ -181,6 +183,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
                             else hashlib.sha256(text.encode()).hexdigest()
                         )
                 yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(cols[k], types[k]) for k in outputs)], names=["id", *outputs])
+            give_back()
 
     out = rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"{k} {_KINDS[k]}" for k in outputs))
     return out.withColumnRenamed("id", id_col)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.graph import connected_components
 from tidemark.llm.native import small
 from tidemark.llm.storage import materialize
-from tidemark.llm.textbatch import LOWER, NONSPACE, PrefixHash, chunks, mix, utf8, words
+from tidemark.llm.textbatch import LOWER, NONSPACE, PrefixHash, chunks, give_back, mix, utf8, words
 
 ROWS = 5
 MISS = 1e-7
@@ -137,6 +137,7 @@ def _checked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
                 if 100 * shared >= percent * (len(last[1]) + len(other) - shared):
                     keep.append(at)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            give_back()
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
@@ -209,6 +210,7 @@ def _compare_blocks(rows: DataFrame, width: int, percent: int) -> DataFrame:
                 group.append(x)
         if group:
             yield from solve(group)
+        give_back()
 
     return rows.repartition("a", "lo", "hi").sortWithinPartitions("a", "lo", "hi").mapInArrow(run, "a bigint, b bigint")
 
@@ -221,6 +223,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from _sketch(batch, shingle_words, bands)
+            give_back()
 
     found = materialize(rows.mapInArrow(run, "id bigint, n bigint, d1 bigint, d2 bigint, keys array<bigint>"), "signatures")
     linked = found.where("n > 0 AND id IS NOT NULL")

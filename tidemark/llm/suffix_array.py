@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.storage import materialize
-from tidemark.llm.textbatch import PrefixHash, chunks, mix, utf8
+from tidemark.llm.textbatch import PrefixHash, chunks, give_back, mix, utf8
 
 LEAST = 100
 ANCHOR = 32
@@ -333,7 +333,7 @@ def _released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for k, batch in enumerate(batches):
         yield batch
         if k % 16 == 15:
-            pa.default_memory_pool().release_unused()
+            give_back()
 
 
 _NULL_ID = -(1 << 63)

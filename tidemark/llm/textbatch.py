@@ -6,6 +6,7 @@ value, so the hash of any [start, end) costs two look-ups once the prefix sums o
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,20 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # not glibc
+
+    def _trim(pad: int) -> int:
+        return 0
+
+
+def give_back() -> None:
+    """Return memory that a finished batch no longer uses to the system: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _tables.get(base)
     if have is None or len(have[0]) < n:

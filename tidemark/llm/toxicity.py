@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textbatch import ALNUM, LOWER, PrefixHash, chunks, mix, utf8, words
+from tidemark.llm.textbatch import ALNUM, LOWER, PrefixHash, chunks, give_back, mix, utf8, words
 
 BITS = 20
 MAX_TRAIN = 20_000
@@ -111,9 +111,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for k in range(batch.num_rows):
                 one = data[offsets[k] : offsets[k + 1]]
                 rows.append(np.unique(features(one, np.array([0, len(one)]))[0]).astype(np.int32))
-            pa.default_memory_pool().release_unused()
+            give_back()
         order = sorted(range(len(keys)), key=keys.__getitem__)
         at, w, bias = _fit([rows[i] for i in order], [keys[i][2] for i in order], how)
+        del rows, keys
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(w, bias))], names=["at", "w"])
 
     model = joined.repartition(1).mapInArrow(fit, "at bigint, w double").collect()
@@ -143,7 +145,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col:
                 got[a:b] += np.bincount(once >> BITS, table[once & ((1 << BITS) - 1)], b - a)
             names = [c for c in batch.schema.names if keep or c == "_id"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(1.0 / (1.0 + np.exp(-np.clip(got, -35, 35))))], names=[*names, "score"])
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     out = rows.mapInArrow(run, schema + ", score double").withColumnRenamed("_id", id_col)
     if keep:
