@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textbatch import give_back
+from tidemark.llm.textbatch import bound_batches, give_back
 
 #: Words kept between batches by one worker; beyond it the memory starts anew (results do not change).
 CACHE_WORDS = 150_000
@@ -152,6 +152,7 @@ _models: dict[str, WordBpe] = {}
 def model(path: str) -> WordBpe:
     if path not in _models:
         _models[path] = WordBpe(path)
+        give_back()
     return _models[path]
 
 
@@ -160,6 +161,7 @@ _KINDS = {"n_tokens": "bigint", "ids": "array<int>", "ids_sha256": "string", "de
 
 def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
     """One row per document: its id and the asked ``outputs`` of {n_tokens, ids, ids_sha256, decoded, decoded_sha256}."""
+    bound_batches(docs.sparkSession)
     path = path or default_path()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

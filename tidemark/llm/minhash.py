@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.graph import connected_components
 from tidemark.llm.native import small
 from tidemark.llm.storage import materialize
-from tidemark.llm.textbatch import LOWER, NONSPACE, PrefixHash, chunks, give_back, mix, utf8, words
+from tidemark.llm.textbatch import LOWER, NONSPACE, PrefixHash, bound_batches, chunks, give_back, mix, utf8, words
 
 ROWS = 5
 MISS = 1e-7
@@ -217,6 +217,7 @@ def _compare_blocks(rows: DataFrame, width: int, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """Per document row: id, n_shingles, component_id, kept. Ids are integers."""
+    bound_batches(docs.sparkSession)
     bands = bands_for(percent)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
 

@@ -11,8 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch between JVM and worker; both hold several at a time.
+BATCH_BYTES = 4 << 20
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -35,6 +38,14 @@ except (AttributeError, OSError):  # not glibc
         return 0
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to ``BATCH_BYTES``, so that long texts don't make them large; a session's lower limit stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def give_back() -> None:
     """Return memory that a finished batch no longer uses to the system: workers live on between stages."""
     pa.default_memory_pool().release_unused()

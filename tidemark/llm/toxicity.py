@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textbatch import ALNUM, LOWER, PrefixHash, chunks, give_back, mix, utf8, words
+from tidemark.llm.textbatch import ALNUM, LOWER, PrefixHash, bound_batches, chunks, give_back, mix, utf8, words
 
 BITS = 20
 MAX_TRAIN = 20_000
@@ -95,6 +95,7 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", how: Ftrl = Ftrl(), max_train: int = MAX_TRAIN) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights (coordinates, values) and bias from a bounded sample of the labelled rows that are not held out."""
+    bound_batches(docs.sparkSession)
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id"))).dropDuplicates(["id"])
     n = rows.count()
     share = min(1.0, max_train / max(1, n))
@@ -126,6 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, ``keep`` columns and score of every row."""
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     cols = [F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep))]
     rows = docs.select(*cols)
