@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
-from tidemark.operators import contract, dedup, drift, evaluation, merge, modelling, sequence, serving, summary
+from tidemark.operators import contract, dedup, drift, evaluation, merge, modelling, ordered, sequence, serving, summary
 from tidemark.sources import simulator, tables
 from tidemark.streaming import bronze
 
@@ -167,3 +167,24 @@ def test_core_does_not_need_the_corpus_operators():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert "tidemark.llm" not in f.read_text(), f
+
+
+def test_ordered_work_is_the_same_in_one_task_and_in_ranges(spark):
+    import numpy as np
+
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 50 == 1, "b").otherwise("a").alias("g"), (F.col("id") * 7919 % 101).cast("double").alias("x"))
+    order = [F.col("x").desc(), F.col("id")]
+    one, many = (sorted(map(tuple, ordered.running(rows, ["g"], order, {"r": F.lit(1), "s": F.col("x")}, n).collect()), key=lambda r: r[0]) for n in (10_000, 100))
+    assert one == many and len(one) == 3000 and max(r[3] for r in one if r[1] is None) == 1000
+    at = (0.0, 0.1, 0.25, 0.5, 0.99, 1.0)
+    data = rows.withColumn("x", F.when(F.col("id") % 11 == 0, None).otherwise(F.col("x") ** 2))
+    one, many = ({r.g: r.q for r in ordered.quantiles(data, ["g"], "x", at, n).collect()} for n in (10_000, 100))
+    want = data.where("x IS NOT NULL").toPandas()
+    for g in (None, "a", "b"):
+        mine = want[want.g.isna() if g is None else want.g == g].x
+        assert np.allclose(one[g], np.quantile(mine, at)) and np.allclose(many[g], np.quantile(mine, at))
+    assert np.allclose(ordered.quantiles(data, [], "x", at, 100).first().q, np.quantile(want.x, at))
+    assert ordered.quantiles(data.where("false"), [], "x", at).count() == ordered.quantiles(data.where("false"), ["g"], "x", at, -1).count() == 0
+    split = lambda n: evaluation.stratified_split(rows, "g", order, [("a", 0.7), ("b", 0.3)], n)
+    assert split(10_000).exceptAll(split(100)).count() == 0 and evaluation.folds(rows, "g", order, 5, 100).exceptAll(evaluation.folds(rows, "g", order, 5)).count() == 0
+    assert evaluation.seeded_sample(rows, ["id"], 10).exceptAll(evaluation.seeded_sample(rows.repartition(7), ["id"], 10)).count() == 0

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import quantiles
 from tidemark.operators.profile import long_form
 
 # Number of quantile bins, added to proportions, and the inclusive bounds of the states.
@@ -23,8 +24,8 @@ def _psi_term(r: Column, c: Column) -> Column:
 
 def bin_edges(reference: DataFrame, features: Sequence[str]) -> DataFrame:
     """feature, edges (distinct linear quantiles of the reference)."""
-    at = F.array(*(F.lit(i / BINS) for i in range(BINS + 1)))
-    return long_form(reference, features).groupBy("feature").agg(F.array_distinct(F.percentile("x", at)).alias("edges"))
+    found = quantiles(long_form(reference, features), ["feature"], "x", [i / BINS for i in range(BINS + 1)])
+    return found.select("feature", F.array_distinct("q").alias("edges"))
 
 
 def proportions(rows: DataFrame, features: Sequence[str], edges: DataFrame) -> DataFrame:

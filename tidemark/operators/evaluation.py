@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import ONE_TASK, null_safe_join, running
+
 
 def _rates(rows: DataFrame, digits: int) -> DataFrame:
     """Metrics from tp, fp, fn, tn; a zero denominator gives 0."""
@@ -41,11 +43,10 @@ def confusion(rows: DataFrame, label: str, score: str, threshold: float, digits:
 def ranking_metrics(rows: DataFrame, label: str, score: str, digits: int = 6) -> DataFrame:
     """One row: ROC AUC (average ranks) and average precision (steps at distinct scores).
 
-    Rows are first counted per distinct score, so the ordered window holds scores, not rows.
+    Rows are first counted per distinct score, so that scores are put in order, not rows.
     """
     by = rows.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy(F.col("s").desc())
-    run = by.select("p", "n", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("k"))
+    run = running(by, [], [F.col("s").desc()], {"tp": F.col("p"), "k": F.col("n")})
     total = by.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
     both = run.join(F.broadcast(total))
     positives, negatives = F.col("all_p"), F.col("all_n") - F.col("all_p")
@@ -76,10 +77,10 @@ def metric_deltas(a: DataFrame, b: DataFrame, columns: Sequence[str], digits: in
     return l.join(b.select(*columns)).select(*(F.round(F.col(c) - F.col(f"_a_{c}"), digits).alias(f"delta_{c}") for c in columns))
 
 
-def stratified_split(rows: DataFrame, label: str, order: Sequence[Column], shares: Sequence[tuple[str, float]]) -> DataFrame:
+def stratified_split(rows: DataFrame, label: str, order: Sequence[Column], shares: Sequence[tuple[str, float]], one_task: int = ONE_TASK) -> DataFrame:
     """Per class, rows in the given pseudo-random order are cut at the cumulative shares (rounded down)."""
-    w = Window.partitionBy(label)
-    rows = rows.withColumn("_r", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count("*").over(w))
+    sizes = rows.groupBy(label).agg(F.count("*").alias("_n"))
+    placed = null_safe_join(running(rows, [label], order, {"_r": F.lit(1)}, one_task), sizes, [label])
     out, reached = F.lit(shares[-1][0]), 0.0
     bounds = []
     for name, share in shares[:-1]:
@@ -87,11 +88,16 @@ def stratified_split(rows: DataFrame, label: str, order: Sequence[Column], share
         bounds.append((name, reached))
     for name, limit in reversed(bounds):
         out = F.when(F.col("_r") <= F.floor(F.round(F.col("_n") * limit, 6)), F.lit(name)).otherwise(out)
-    return rows.withColumn("split", out).drop("_r", "_n")
+    return placed.withColumn("split", out).drop("_r", "_n")
+
+
+def folds(rows: DataFrame, label: str, order: Sequence[Column], k: int, one_task: int = ONE_TASK) -> DataFrame:
+    return running(rows, [label], order, {"_r": F.lit(1)}, one_task).withColumn("fold", F.pmod(F.col("_r") - 1, F.lit(k)).cast("int")).drop("_r")
 
 
-def folds(rows: DataFrame, label: str, order: Sequence[Column], k: int) -> DataFrame:
-    return rows.withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy(label).orderBy(*order)) - 1, F.lit(k)).cast("int"))
+def seeded_sample(rows: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
+    """The ``n`` rows of least seeded hash: the same rows for the same keys, whatever the partitioning."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
 
 
 def mean_absolute(contributions: DataFrame, feature: str, value: str, digits: int = 6) -> DataFrame:

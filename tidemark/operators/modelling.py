@@ -63,6 +63,10 @@ def predictions(scored: DataFrame, threshold: float) -> DataFrame:
     return scored.withColumn("failure_prediction", (F.col("probability") >= threshold).cast("int")).withColumn("frozen_threshold", F.lit(threshold))
 
 
+#: Rows that isolation trees draw their subsamples from; more would not change trees of 256 rows.
+FIT_ROWS = 4_096
+
+
 def fit_isolation(sample: np.ndarray, trees: int = 100, size: int = 256, seed: int = 42) -> list[list[tuple]]:
     """Isolation trees over a bounded numeric sample; nodes are (feature, cut, left, right) or (None, rows)."""
     rng = np.random.default_rng(seed)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import null_safe_join, quantiles
+
 
 def quality(rows: DataFrame, unique: str) -> DataFrame:
     """rows, columns, nulls over all columns, fully repeated rows, distinct ids."""
@@ -60,8 +62,9 @@ def long_form(rows: DataFrame, columns: Sequence[str], keep: Sequence[str] = ())
 
 def describe(rows: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """count, mean, sample deviation and quartiles (linear interpolation) per feature, optionally per group."""
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    got = long_form(rows, columns, by).groupBy(*by, "feature").agg(F.count("x").alias("n"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_samp("x"), 6).alias("std"), F.min("x").alias("min"), q.alias("q"), F.max("x").alias("max"))
+    long = long_form(rows, columns, by)
+    got = long.groupBy(*by, "feature").agg(F.count("x").alias("n"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_samp("x"), 6).alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    got = null_safe_join(got, quantiles(long, [*by, "feature"], "x", (0.25, 0.5, 0.75)), [*by, "feature"], "left")
     return got.select(*by, "feature", "n", "mean", "std", "min", *(F.round(F.col("q")[i], 6).alias(f"p{p}") for i, p in enumerate((25, 50, 75))), "max")
 
 

@@ -268,5 +268,5 @@ def out_of_fold_scores(labels: DataFrame, documents: DataFrame) -> DataFrame:
 @query()
 def isolation_scores(lineitem: DataFrame) -> DataFrame:
     cols = ["l_quantity", "l_extendedprice", "l_discount"]
-    sample = lineitem.select(*cols).where(F.pmod(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey"), F.lit(97)) == 0).limit(5_000).toPandas().to_numpy(float)
+    sample = evaluation.seeded_sample(lineitem.select(*cols), cols, modelling.FIT_ROWS).toPandas().to_numpy(float)
     return modelling.isolation_scores(lineitem.select("l_orderkey", "l_linenumber", *cols), modelling.fit_isolation(sample), cols)
