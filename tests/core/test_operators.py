@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
-from tidemark.operators import contract, dedup, drift, evaluation, merge, modelling, ordered, sequence, serving, summary
+from tidemark.operators import contract, dedup, drift, evaluation, inspection, merge, modelling, ordered, sequence, serving, summary
 from tidemark.sources import simulator, tables
 from tidemark.streaming import bronze
 
@@ -188,3 +188,19 @@ def test_ordered_work_is_the_same_in_one_task_and_in_ranges(spark):
     split = lambda n: evaluation.stratified_split(rows, "g", order, [("a", 0.7), ("b", 0.3)], n)
     assert split(10_000).exceptAll(split(100)).count() == 0 and evaluation.folds(rows, "g", order, 5, 100).exceptAll(evaluation.folds(rows, "g", order, 5)).count() == 0
     assert evaluation.seeded_sample(rows, ["id"], 10).exceptAll(evaluation.seeded_sample(rows.repartition(7), ["id"], 10)).count() == 0
+
+
+def test_inspection_is_null_safe(spark):
+    a = spark.createDataFrame([(1, "x", None), (2, None, 1.0), (None, "z", 2.0)], "k int, s string, v double")
+    b = spark.createDataFrame([(1, "x", 3.0), (2, None, 1.0), (None, "y", 2.0)], "k int, s string, v double")
+    assert sorted(((r.k or 0), r.differing) for r in inspection.mismatches(a, b, ["k"], ["s", "v"]).collect()) == [(0, ["s"]), (1, ["v"])]
+    log = spark.createDataFrame([(1, 5, "x"), (1, 4, "first"), (9, 1, "extra")], "k int, at int, s string")
+    got = {r.k: (r.state, r.arrivals) for r in inspection.delivery(a.where("k IS NOT NULL"), log, ["k"], ["at"], "s").collect()}
+    assert got == {1: ("differs", 2), 2: ("missing", 0)}
+    one = inspection.table_report(a, "k", ["k", "s"], ["v"], ["s"]).first()
+    assert (one.n_rows, one.repeated_ids, one.null_k, one.null_s, one.bad_numbers) == (3, 0, 1, 1, 1)
+    empty = inspection.table_report(a.where("false"), "k", ["k"], ["v"], ["s"]).first()
+    assert (empty.n_rows, empty.bad_numbers) == (0, 0)
+    assert inspection.export_parity(a, a.drop("v"), "s", ["v"]).first().leaked_fields == "" and not inspection.export_parity(a, a, "s", ["v"]).first().holds
+    assert [(r.name, r.place) for r in inspection.grid_ranking(spark.createDataFrame([("b", 1.0), ("a", 1.0)], "name string, s double"), "s", "name").orderBy("place").collect()] == [("a", 1), ("b", 2)]
+    assert {(r.key, r.value) for r in inspection.ledger(a.where("k = 2"), ["k"], ["s", "v"]).collect()} == {("v", "1.0")}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def registry() -> tuple[dict, dict, Callable]:
-    """(queries, sql, decorator). The decorated function's parameters name the tables it reads."""
+    """(queries, sql, decorator). The decorated function's parameters name the tables it reads; ``spark`` and ``sf_dir`` are themselves."""
     queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
     sql: dict[str, str] = {}
 
@@ -18,7 +18,8 @@ def registry() -> tuple[dict, dict, Callable]:
             tables = list(inspect.signature(f).parameters)
 
             def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-                return f(*(spark if t == "spark" else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables))
+                given = {"spark": spark, "sf_dir": sf_dir}
+                return f(*(given[t] if t in given else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables))
 
             run.__name__ = f.__name__
             queries[f.__name__] = run

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 
 def kafka_stream(spark: SparkSession, servers: str, topic: str) -> DataFrame:
@@ -12,7 +13,8 @@ def kafka_stream(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").option("failOnDataLoss", "true").load()
 
 
-def file_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 64) -> DataFrame:
+def file_stream(spark: SparkSession, path: str, schema: str | StructType, files_per_batch: int = 64) -> DataFrame:
+    """Parquet files as they arrive. A path is a folder or a pattern; a pattern may name single files."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
