@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontamination, fingerprints, html_blocks, minhash, reputation, secrets, suffix_array, toxicity, warc
+from tidemark.llm import bpe, decontamination, fingerprints, html_blocks, minhash, oracles, reputation, secrets, suffix_array, toxicity, warc
 from tidemark.llm.storage import fresh_path
 
 
@@ -53,7 +53,8 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
-    return reputation.filter_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"), bad)
+    found = reputation.filter_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"), bad)
+    return found.withColumn("bound", F.round("bound", 6))
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,19 +83,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_html, op4_warc, op5_repeats, op6_minhash, op7_urls, op8_fingerprints, op9_secrets, op10_bpe)}
 
 
-_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-
-#: Every window of every text as a word list, so that a match is an equality; for small tables.
-_OP1_SQL = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
-bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, w[s:s + least(10, len(w)) - 1] AS win FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM b WHERE len(w) > 0)),
-sizes AS (SELECT DISTINCT n FROM bw),
-dw AS (SELECT doc_id, n, s, w[s:s + n - 1] AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n)),
-m AS (SELECT doc_id, item_id, s, bw.n FROM dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win),
-h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM m) GROUP BY 1),
-i AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM m GROUP BY 1)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": _OP1_SQL}
+    return oracles.SQL
