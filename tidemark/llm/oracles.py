@@ -5,7 +5,7 @@ Each takes the direct way (all windows, all pairs that share a shingle, all 100-
 
 from __future__ import annotations
 
-from tidemark.llm import reputation
+from tidemark.llm import reputation, secrets
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -74,4 +74,18 @@ j AS (SELECT l.*, coalesce(hb.bound, db.bound, sb.bound, c.bound) AS bound FROM
 SELECT page_id, host, path, {case(lambda v, r: r)} AS rule, coalesce({case(lambda v, r: v)}, CASE WHEN bound > {reputation.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, round(bound, 6) AS bound FROM j"""
 
 
-SQL = {"op1_decontamination": _OP1_SQL, "op4_warc": _OP4_SQL, "op5_repeats": _OP5_SQL, "op6_minhash": _OP6_SQL, "op7_urls": _op7()}
+def _op9() -> str:
+    anycase = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+    assign = "(" + "|".join(map(anycase, ("password", "passwd", "secret", "token", "api_?key"))) + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    base = (("assign", assign, 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24))
+    rules = (*base, *secrets.EXTRA_RULES)
+    found = " UNION ALL ".join(f"SELECT doc_id, {rank} AS rank, '{kind}' AS kind, {least} AS least, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}') AS hits, regexp_extract_all(t, '{p}', {group}) AS held FROM d" for rank, (kind, p, group, least) in enumerate(rules))
+    upto = lambda column, to: f"coalesce(list_sum(list_transform({column}[1:{to}], lambda x: length(x))), 0)"
+    joined = lambda condition: f"coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (WHERE {condition}), '')"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM ({found})),
+s AS (SELECT doc_id, rank, kind, CAST({upto("gaps", "i")} + {upto("hits", "i - 1")} AS BIGINT) AS a, CAST({upto("gaps", "i")} + {upto("hits", "i")} AS BIGINT) AS b FROM m WHERE length(held[i]) >= least)
+SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k, *_ in base)}, sha256({joined("rank < 3")}) AS base_sha256, {joined("rank IS NOT NULL")} AS spans FROM d LEFT JOIN s USING (doc_id) GROUP BY doc_id"""
+
+
+SQL = {"op1_decontamination": _OP1_SQL, "op4_warc": _OP4_SQL, "op5_repeats": _OP5_SQL, "op6_minhash": _OP6_SQL, "op7_urls": _op7(), "op9_secrets": _op9()}
