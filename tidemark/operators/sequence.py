@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import once
+
 
 def sequence_gaps(rows: DataFrame, entity: str, number: str, first: int = 1) -> DataFrame:
     """Per entity: rows, and rows whose number is not the next one."""
@@ -30,14 +32,18 @@ def partition_inconsistencies(rows: DataFrame, entity: str, partition: str) -> D
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "what", "which", "with")
 
 
-def tokens(text: str) -> Column:
-    found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z0-9_]+"), F.lit(0)))
-    return F.array_except(found, F.array(*map(F.lit, STOPWORDS)))
+def _found(query: Column, text: str) -> Column:
+    """The query's tokens that a text holds."""
+    return F.array_intersect(query, F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z0-9_]+"), F.lit(0)))
 
 
 def retrieve(docs: DataFrame, query: Sequence[str], title: str, content: str, key: str, k: int, boost: float = 1.5) -> DataFrame:
-    """Top-k by |query in title or content| + boost * |query in title|; zero scores are no results."""
-    q = F.array(*map(F.lit, query))
-    rows = docs.select(key, tokens(title).alias("t"), tokens(content).alias("c"))
-    score = F.size(F.array_intersect(q, F.array_union("t", "c"))) + boost * F.size(F.array_intersect(q, F.col("t")))
-    return rows.select(key, score.cast("double").alias("score")).where("score > 0").orderBy(F.col("score").desc(), key).limit(k)
+    """Top-k by |query in title or content| + boost * |query in title|; zero scores are no results, stop words do not count.
+
+    Only the query's few tokens are kept of each text. The zero filter stands after the top-k, which it cannot
+    change, so that texts are not scored once more for it.
+    """
+    words = [w for w in dict.fromkeys(query) if w not in STOPWORDS]
+    q = F.array(*map(F.lit, words)).cast("array<string>")
+    score = once(F.struct(_found(q, title).alias("t"), _found(q, content).alias("c")), lambda h: F.size(F.array_union(h["t"], h["c"])) + boost * F.size(h["t"]))
+    return docs.select(key, score.cast("double").alias("score")).orderBy(F.col("score").desc(), key).limit(k).where("score > 0")
