@@ -137,6 +137,19 @@ def test_streaming_appends_once(spark, tmp_path):
         assert got.count() == got.select("kafka_offset").distinct().count() == total and len(got.columns) == 8
 
 
+def test_streamed_windows_of_many_unordered_files(spark, tmp_path):
+    from tidemark.plans import catalogue
+
+    at = F.col("id") * 1237 % 2000
+    events = spark.range(0, 2000, 1, 160).select(F.col("id").alias("event_id"), F.timestamp_seconds(1_700_000_000 + at * 30).cast("timestamp_ntz").alias("ts"), (F.col("id") % 5).alias("user_id"), F.lit("view").alias("event_type"), at.cast("double").alias("value"), F.lit("{}").alias("props"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    assert len(list(tmp_path.glob("events.parquet/*.parquet"))) == 160
+    got = catalogue.queries()["streaming_windows_1m"](spark, str(tmp_path)).select("user_id", "window_start", "event_count")
+    want = events.groupBy("user_id", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("window_start")).agg(F.count("*").alias("event_count"))
+    want = want.where(F.col("window_start") + F.expr("INTERVAL '11' MINUTE") <= F.lit(events.agg(F.max("ts")).first()[0]).cast("timestamp_ntz"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_simulator_and_uuid(spark):
     a, b = simulator.events(spark, 3, 20), simulator.events(spark, 3, 20).repartition(5)
     assert a.exceptAll(b).count() == 0 and a.select("event_id").distinct().count() == 60 and a.where("torque_nm NOT BETWEEN 0 AND 80").count() == 0

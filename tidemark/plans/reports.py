@@ -226,7 +226,7 @@ def streaming_bronze(spark: SparkSession, sf_dir: str, events: DataFrame) -> Dat
 WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'""")
 def streaming_windows_1m(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
     """The same windows from a stream: a window is written once, when the watermark (10 minutes) has passed its end."""
-    rows = bronze.file_stream(spark, f"{sf_dir}/events.parquet*", events.schema).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
+    rows = bronze.file_stream(spark, f"{sf_dir}/events.parquet*", events.schema, None).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
     path = fresh_path(spark, "windows")
     bronze.append(summary.entity_windows(rows, "user_id", "ts", "1 minute", "event_type", _TYPES, ["value"]), path, fresh_path(spark, "windows-checkpoint")).awaitTermination()
     got = spark.read.parquet(path)

@@ -13,9 +13,14 @@ def kafka_stream(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").option("failOnDataLoss", "true").load()
 
 
-def file_stream(spark: SparkSession, path: str, schema: str | StructType, files_per_batch: int = 64) -> DataFrame:
-    """Parquet files as they arrive. A path is a folder or a pattern; a pattern may name single files."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def file_stream(spark: SparkSession, path: str, schema: str | StructType, files_per_batch: int | None = 64) -> DataFrame:
+    """Parquet files as they arrive. A path is a folder or a pattern; a pattern may name single files.
+
+    Files are read in no order of event time: behind a watermark, a finished table needs None (all files in one batch), else
+    the watermark of the first files discards the older events of later ones.
+    """
+    stream = spark.readStream.schema(schema)
+    return (stream if files_per_batch is None else stream.option("maxFilesPerTrigger", files_per_batch)).parquet(path)
 
 
 def bronze(log: DataFrame) -> DataFrame:
