@@ -173,6 +173,36 @@ def test_isolation_finds_the_odd_row(spark):
     assert got.i == 500
 
 
+def test_isolation_trees_draw_from_all_rows(spark):
+    # a third of the rows hold one value tuple; half of these are also exact copies of one row
+    third = F.col("id") % 3 == 0
+    rows = spark.range(30_000).select(F.when(third & (F.col("id") % 2 == 0), -1).otherwise(F.col("id")).alias("k"), F.when(third, 0.0).otherwise(F.col("id").cast("double")).alias("x"))
+    got = modelling.tree_samples(rows, ["k"], ["x"], 40)
+    assert len(got) == 40 and all(len(x) == 256 for x in got)
+    shares = [(x == 0).mean() for x in got]
+    assert abs(sum(shares) / 40 - 1 / 3) < 0.02 and min(shares) > 0.2 and max(shares) < 0.47
+    assert len({v for x in got for v in x[:, 0]}) > 5_000
+    again = modelling.tree_samples(rows.repartition(7), ["k"], ["x"], 40)
+    assert all((a == b).all() for a, b in zip(got, again, strict=True))
+    few = modelling.tree_samples(rows.limit(9), ["k"], ["x"], 3)
+    assert [len(x) for x in few] == [9] * 3
+
+
+def test_isolation_query_samples_beyond_its_first_rows(spark, tmp_path, monkeypatch):
+    from tidemark.plans import catalogue
+
+    seen = []
+    for name in ("fit_isolation", "fit_trees"):
+        fit = getattr(modelling, name, None)
+        if fit:
+            monkeypatch.setattr(modelling, name, lambda given, *a, _f=fit: (seen.extend(given if isinstance(given, list) else [given]), _f(given, *a))[1])
+    rows = spark.range(60_000).select(F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.when(F.col("id") % 3 == 0, 1.0).otherwise(F.col("id") + 2.0).alias("l_quantity"), F.lit(1.0).alias("l_extendedprice"), F.lit(0.1).alias("l_discount"))
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert catalogue.queries()["isolation_scores"](spark, str(tmp_path)).count() == 60_000
+    held = [v for x in seen for v in x[:, 0]]
+    assert len(set(held)) > 4_096 and 0.25 < sum(v == 1.0 for v in held) / len(held) < 0.42
+
+
 def test_core_does_not_need_the_corpus_operators():
     from pathlib import Path
 

@@ -15,7 +15,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.evaluation import folds
@@ -63,32 +63,60 @@ def predictions(scored: DataFrame, threshold: float) -> DataFrame:
     return scored.withColumn("failure_prediction", (F.col("probability") >= threshold).cast("int")).withColumn("frozen_threshold", F.lit(threshold))
 
 
-#: Rows that isolation trees draw their subsamples from; more would not change trees of 256 rows.
-FIT_ROWS = 4_096
+#: Rows of one isolation tree.
+TREE_ROWS = 256
 
 
-def fit_isolation(sample: np.ndarray, trees: int = 100, size: int = 256, seed: int = 42) -> list[list[tuple]]:
-    """Isolation trees over a bounded numeric sample; nodes are (feature, cut, left, right) or (None, rows)."""
+def tree_samples(rows: DataFrame, keys: Sequence[str], features: Sequence[str], trees: int = 100, size: int = TREE_ROWS, seed: int = 42) -> list[np.ndarray]:
+    """For each tree ``size`` rows drawn from all rows by a seeded hash of keys, features and the number of a copy, whatever the partitioning.
+
+    A tree takes its rows of least hash. Only hashes below a bound that four times ``size`` rows are expected to pass go on,
+    so what is put in order and what comes to the driver does not grow with the table.
+    """
+    n = rows.count()
+    named = list(dict.fromkeys([*keys, *features]))
+    # rows equal in keys and features are numbered, a thousand at a time, so that they are drawn one by one
+    counted = rows.groupBy(*named).agg(F.count("*").alias("_n")).withColumn("_first", F.explode(F.expr("sequence(1L, _n, 1000L)")))
+    copies = counted.withColumn("_copy", F.explode(F.expr("sequence(_first, least(_n, _first + 999L))")))
+    base = copies.select(*features, F.xxhash64(F.lit(seed), "_copy", *(F.col(c).isNull() for c in named), *named).alias("_h"))
+    bound = 2**63 - 1 if n <= 4 * size else int(2**64 * (4 * size / n)) - 2**63
+    numbers = F.broadcast(rows.sparkSession.range(trees).withColumnRenamed("id", "_tree"))
+    drawn = base.join(numbers, F.xxhash64("_h", "_tree") <= F.lit(bound)).withColumn("_d", F.xxhash64("_h", "_tree"))
+    least = drawn.withColumn("_r", F.row_number().over(Window.partitionBy("_tree").orderBy("_d", *features))).where(F.col("_r") <= size)
+    got = least.orderBy("_tree", "_r").select("_tree", *features).toPandas()
+    x, of = got[list(features)].to_numpy(float), got["_tree"].to_numpy()
+    return [x[of == t] for t in range(trees)]
+
+
+def fit_isolation(sample: np.ndarray, trees: int = 100, size: int = TREE_ROWS, seed: int = 42) -> list[list[tuple]]:
+    """Isolation trees over rows held here, each on its own draw; nodes are (feature, cut, left, right) or (None, rows)."""
     rng = np.random.default_rng(seed)
     size = min(size, len(sample))
-    height = int(np.ceil(np.log2(max(2, size))))
-    forest = []
-    for _ in range(trees):
-        nodes: list[tuple] = []
-
-        def grow(x: np.ndarray, depth: int) -> int:
-            at = len(nodes)
-            nodes.append((None, len(x)))
-            spread = np.flatnonzero(x.max(axis=0) > x.min(axis=0)) if len(x) > 1 else np.array([], int)
-            if depth < height and len(spread):
-                f = int(rng.choice(spread))
-                cut = float(rng.uniform(x[:, f].min(), x[:, f].max()))
-                nodes[at] = (f, cut, grow(x[x[:, f] < cut], depth + 1), grow(x[x[:, f] >= cut], depth + 1))
-            return at
-
-        grow(sample[rng.choice(len(sample), size, replace=False)], 0)
-        forest.append(nodes)
-    return forest
+    return [_grown(sample[rng.choice(len(sample), size, replace=False)], rng) for _ in range(trees)]
+
+
+def fit_trees(samples: Sequence[np.ndarray], seed: int = 42) -> list[list[tuple]]:
+    """One isolation tree for each of ``samples``."""
+    rng = np.random.default_rng(seed)
+    return [_grown(x, rng) for x in samples]
+
+
+def _grown(sample: np.ndarray, rng: np.random.Generator) -> list[tuple]:
+    height = int(np.ceil(np.log2(max(2, len(sample)))))
+    nodes: list[tuple] = []
+
+    def grow(x: np.ndarray, depth: int) -> int:
+        at = len(nodes)
+        nodes.append((None, len(x)))
+        spread = np.flatnonzero(x.max(axis=0) > x.min(axis=0)) if len(x) > 1 else np.array([], int)
+        if depth < height and len(spread):
+            f = int(rng.choice(spread))
+            cut = float(rng.uniform(x[:, f].min(), x[:, f].max()))
+            nodes[at] = (f, cut, grow(x[x[:, f] < cut], depth + 1), grow(x[x[:, f] >= cut], depth + 1))
+        return at
+
+    grow(sample, 0)
+    return nodes
 
 
 def _expected(n: np.ndarray | float) -> np.ndarray:
@@ -96,7 +124,7 @@ def _expected(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + np.euler_gamma) - 2 * (n - 1) / n, np.where(n == 2, 1.0, 0.0))
 
 
-def isolation_scores(rows: DataFrame, forest: list[list[tuple]], features: Sequence[str], size: int = 256) -> DataFrame:
+def isolation_scores(rows: DataFrame, forest: list[list[tuple]], features: Sequence[str], size: int = TREE_ROWS) -> DataFrame:
     """``rows`` with ``isolation_score``: 0 to 1, higher for rows that fewer cuts set apart."""
     sent = rows.sparkSession.sparkContext.broadcast(forest)
 

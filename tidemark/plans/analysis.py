@@ -268,5 +268,6 @@ def out_of_fold_scores(labels: DataFrame, documents: DataFrame) -> DataFrame:
 @query()
 def isolation_scores(lineitem: DataFrame) -> DataFrame:
     cols = ["l_quantity", "l_extendedprice", "l_discount"]
-    sample = evaluation.seeded_sample(lineitem.select(*cols), cols, modelling.FIT_ROWS).toPandas().to_numpy(float)
-    return modelling.isolation_scores(lineitem.select("l_orderkey", "l_linenumber", *cols), modelling.fit_isolation(sample), cols)
+    keys = ["l_orderkey", "l_linenumber"]
+    forest = modelling.fit_trees(modelling.tree_samples(lineitem, keys, cols))
+    return modelling.isolation_scores(lineitem.select(*keys, *cols), forest, cols)
