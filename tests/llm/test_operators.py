@@ -282,6 +282,13 @@ def test_fingerprints(spark, docs, rows):
     assert got[60].fingerprint == "" and len(got[0].fingerprint) == 256
 
 
+def test_fingerprints_of_short_texts(spark):
+    # 9 shingles each, 6 of them shared: a Jaccard similarity of one half
+    rows = [(" ".join(f"w{i}x{k}" for k in range(13)), " ".join(f"w{i}{'x' if k < 10 else 'y'}{k}" for k in range(13))) for i in range(400)]
+    got = [r.s for r in spark.createDataFrame(rows, "a string, b string").select(fingerprints.likeness(fingerprints.fingerprint(F.col("a")), fingerprints.fingerprint(F.col("b"))).alias("s")).collect()]
+    assert abs(np.mean(got) - 0.5) < 0.02 and np.std(got) < 0.06, (np.mean(got), np.std(got))
+
+
 def test_next_over_many_runs(spark, rows):
     d = spark.createDataFrame([(3 * i, f"text {i} " * 9) for i in range(97)], "id bigint, text string").repartition(6)
     got = {r.id: r.next_text for r in fingerprints.with_next(d, "id", {"text": F.col("text")}, {}, run_rows=7).collect()}

@@ -23,7 +23,7 @@ LOW_BITS = 4
 _BINS = 1 << BIN_BITS
 _BELOW = 64 - BIN_BITS
 _REST = (1 << _BELOW) - 1
-#: Look-ups of a bin's sequence before the rest of it is searched at once.
+#: Look-ups of a bin's sequence one by one, before the filled bins are ranked by their places in the rest of it.
 _TRIES = 12
 #: Documents of one ordered run when neighbours are found.
 RUN_ROWS = 5_000
@@ -49,12 +49,15 @@ def _least_of_bins(hashes: Column) -> Column:
 
 
 def _densified(bins: Column) -> Column:
-    def fill(d: Column) -> Column:
+    """A bin's sequence is ``_TRIES`` hashed bins, then all bins in the order of a hash of both; its first non-empty bin is copied."""
+
+    def fill(d: Column, filled: Column) -> Column:
         probe = lambda j, t: F.pmod(F.xxhash64(j, F.lit(t)), F.lit(_BINS)).cast("int")
-        rest = lambda j: F.filter(F.transform(F.sequence(F.lit(1), F.lit(_BINS)), lambda k: F.get(d, F.pmod(j + k, F.lit(_BINS)))), lambda x: x.isNotNull())[0]
+        rest = lambda j: F.get(d, F.array_min(F.transform(filled, lambda i: F.struct(F.xxhash64(j, i, F.lit(_TRIES)).alias("h"), i.alias("i"))))["i"])
         return F.transform(d, lambda x, j: F.coalesce(x, *(F.get(d, probe(j, t)) for t in range(_TRIES)), rest(j)))
 
-    return let(bins, fill)
+    filled = lambda d: F.filter(F.transform(d, lambda x, j: F.when(x.isNotNull(), j)), lambda j: j.isNotNull())
+    return let(bins, lambda d: let(filled(d), lambda f: fill(d, f)))
 
 
 def fingerprint(text: Column) -> Column:
