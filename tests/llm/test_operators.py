@@ -107,6 +107,21 @@ def test_html(spark):
     assert len(got) == 5 and by[1].text == "Head & line\n\nFirst part of it.\n\nSecond.\n\nThird é." and by[2].text == by[3].text == ""
 
 
+def test_html_keeps_text_beside_embedded_elements():
+    texts = lambda page: [b.text for b in html_blocks.leaf_blocks(page)]
+    assert texts('<p>One.</p><svg class="icon"/><p>Two.</p>') == ["One.", "Two."]
+    assert texts("<p>One.</p><math/><p>Two.</p>") == ["One.", "Two."]
+    for name in ("svg", "template", "canvas", "audio", "video", "iframe"):
+        assert texts(f"<p>One.</p><{name} id=a><p>Two.</p>") == ["One.", "Two."]
+        assert texts(f"<p>One.</p><{name} id=a>no</{name.upper()} ><p>Two.</p>") == ["One.", "Two."]
+    for name in ("script", "style"):
+        assert texts(f"<p>One.</p><{name}>var a = '<p>no</p>'") == ["One."]
+        assert texts(f"<p>One.</p><{name}>no</{name}><p>Two.</p>") == ["One.", "Two."]
+    assert texts("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p>") == ["So x=2 holds."]
+    assert texts("<noscript><p>One.</p></noscript><object><p>Two.</p></object>") == ["One.", "Two."]
+    assert texts("<p>a</p>" + "<video>" * 20_000 + "<p>b</p>") == ["a", "b"]
+
+
 def test_html_held_out_layouts():
     model, draw = html_blocks.trained(), html_blocks._Layouts(987)
     right = total = 0

@@ -7,8 +7,9 @@ measures. A bidirectional LSTM in numpy reads the sequence and labels every bloc
 The model is trained here, on pages drawn from a grammar of layouts whose labels are known by
 construction; its size and the number of pages are parameters, so it does not depend on the corpus.
 
-Defined results: a null or empty page has an empty text; text inside script, style and similar elements
-is never a block; an element left open ends with its page; repeated rows give repeated results; other
+Defined results: a null or empty page has an empty text; text inside script, style, template, svg,
+iframe, canvas, audio and video is never a block, but of these only script and style reach to the end of the page if left
+open; any other element left open ends with its page; repeated rows give repeated results; other
 columns are ignored.
 """
 
@@ -38,12 +39,15 @@ SEED = 20_240_501
 BATCH_BLOCKS = 12_000
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|canvas|audio|video)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""",
+    r"""<!--.*?(?:-->|\Z)|<(script|style)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""",
     re.S | re.I,
 )
+#: What these hold is not text of the page. Without an end tag they are no more than their own tag.
+_CUT = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("template", "svg", "iframe", "canvas", "audio", "video")}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 # Elements of HTML that stay inside a line of text, and those that have no content.
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input".split())
+_INLINE |= frozenset("math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot msup msub msubsup mover munder munderover mmultiscripts mprescripts mstyle mpadded mphantom merror menclose mtable mtr mtd".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _HOLDS = frozenset(("ul", "ol", "dl", "table", "select"))
@@ -76,7 +80,8 @@ def leaf_blocks(page: str) -> list[Block]:
         linked = 0
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    unclosed: set[str] = set()
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             piece = page[at : m.start()]
             parts.append(piece)
@@ -87,6 +92,13 @@ def leaf_blocks(page: str) -> list[Block]:
         if name is None:
             continue
         name = name.lower()
+        if name in _CUT:
+            if not m[2] and name not in unclosed and not (name == "svg" and m[4].endswith("/")):
+                if end := _CUT[name].search(page, at):
+                    at = end.end()
+                else:
+                    unclosed.add(name)
+            continue
         if name in _INLINE:
             if name == "a":
                 in_link = not m[2]
