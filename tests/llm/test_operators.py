@@ -79,6 +79,14 @@ def test_proximity(spark):
     assert near(0) == [2] and near(2) == [1, 2]
 
 
+def test_proximity_gives_every_start(spark):
+    d = spark.createDataFrame([(1, "a b c z z z a x b y c"), (None, "a b c"), (3, "a b")], "doc_id bigint, text string")
+    items = decontamination.items_of(spark.createDataFrame([(5, "a b c"), (6, "c")], "item_id bigint, text string"))
+    index = decontamination.build_index(d, items)
+    near = sorted((r.id or 0, r.item_id, r.start) for r in decontamination.proximity_matches(index, items, 2).collect())
+    assert near == [(0, "5", 0), (0, "6", 2), (1, "5", 0), (1, "5", 6), (1, "6", 2), (1, "6", 10)]
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     rows, labels = [], []

@@ -73,17 +73,20 @@ def alignments(index: PositionalIndex, items: DataFrame, window: int = WINDOW, r
     return met.where(F.exists("needs", lambda w: F.size(F.array_except(w, F.col("offs"))) == 0)).select("id", "tx", "ik", "shift")
 
 
-def proximity_matches(index: PositionalIndex, items: DataFrame, slop: int) -> DataFrame:
-    """id, tx, item_id, start: documents where every distinct term of an item lies within ``slop`` places of its offset from ``start``."""
+def proximity_matches(index: PositionalIndex, items: DataFrame, slop: int, rarest: int = RAREST) -> DataFrame:
+    """id, tx, item_id, start: every place from which each term of an item lies within ``slop`` places of its offset.
+
+    The lists of an item's rarest terms meet first; those of the others are read only for documents where they did.
+    """
     terms = items.select("item_id", "ik", F.size("words").alias("n"), F.posexplode("words").alias("off", "word")).select("item_id", "ik", "n", "off", F.xxhash64("word").alias("term"))
-    met = index.postings.join(terms, "term").select("id", "tx", "item_id", "ik", "n", "off", (F.col("pos") - F.col("off")).alias("shift"))
-    lists = met.groupBy("id", "tx", "item_id", "ik", "n").agg(F.sort_array(F.collect_set(F.struct("shift", "off"))).alias("at"))
-    lists = lists.where(F.size(F.array_distinct(F.transform("at", lambda x: x["off"]))) == F.col("n"))
-    start = F.filter(
-        F.array_distinct(F.transform("at", lambda x: x["shift"])),
-        lambda s: F.size(F.array_distinct(F.transform(F.filter(F.col("at"), lambda y: y["shift"].between(s, s + slop)), lambda y: y["off"]))) == F.col("n"),
-    )
-    return lists.select("id", "tx", "item_id", start.alias("starts")).where(F.size("starts") > 0).select("id", "tx", "item_id", F.col("starts")[0].alias("start"))
+    known = terms.join(index.terms.withColumnRenamed("n", "freq"), "term")
+    ranked = materialize(known.withColumn("rank", F.row_number().over(Window.partitionBy("ik").orderBy("freq", "term", "off"))), "proximity")
+    lists = lambda t: index.postings.join(small(t, t.count()), "term").select("id", "tx", "item_id", "ik", "n", "off", (F.col("pos") - F.col("off")).alias("shift"))
+    within = Window.partitionBy("id", "tx", "ik").orderBy("shift").rangeBetween(0, slop)
+    met = lambda rows, n: rows.withColumn("offs", F.size(F.collect_set("off").over(within))).where(F.col("offs") == n)
+    anchors = met(lists(ranked.where(F.col("rank") <= rarest)), F.least(F.lit(rarest), F.col("n"))).select("id", "tx", "ik").distinct()
+    rows = lists(ranked).alias("l").join(anchors.alias("a"), F.expr("l.id <=> a.id AND l.tx = a.tx AND l.ik = a.ik"), "left_semi")
+    return met(rows, F.col("n")).select("id", "tx", "item_id", F.col("shift").alias("start")).distinct()
 
 
 def _hits(words: Column, found: Column, window: int) -> Column:
