@@ -209,19 +209,111 @@ def test_intervals_give_all_maximal_repeats():
     rng = random.Random(5)
     data = np.frombuffer("".join(rng.choice("ab") for _ in range(60)).encode(), np.uint8)
     raw = data.tobytes()
-    starts, ends = np.arange(60), np.full(60, 60)
     before = np.concatenate([[-1], data[:-1].astype(int)])
-    got = {(raw[o[0] : o[0] + n], tuple(sorted(o))) for n, o in suffix_array.maximal_repeats(data, starts, ends, before, 3, 60)}
+    order, common = suffix_array.enhanced(data, np.arange(60), np.full(60, 60), 60)
+    length, bounds, found = suffix_array.maximal_repeats(order, common, before, 3)
+    got = {(raw[found[a] : found[a] + n], tuple(sorted(found[a:b].tolist()))) for n, a, b in zip(length.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)}
     want = set()
     for s in {raw[i:j] for i in range(60) for j in range(i + 3, 61)}:
         at = [i for i in range(60) if raw[i : i + len(s)] == s]
         left, right = {raw[i - 1] if i else None for i in at}, {raw[i + len(s)] if i + len(s) < 60 else None for i in at}
-        if len(at) > 1 and len(left) > 1 - (None in left) and len(right) > 1 - (None in right):
-            if (len(left) > 1 or None in left) and (len(right) > 1 or None in right):
-                want.add((s, tuple(at)))
+        if len(at) > 1 and (len(left) > 1 or None in left) and (len(right) > 1 or None in right):
+            want.add((s, tuple(at)))
     assert got == want
 
 
+def test_suffixes_that_differ_in_zero_bytes_only():
+    texts = [b"x\0\0", b"x", b"x\0", b"x\0\0\0"]
+    ends = np.cumsum([len(t) for t in texts])
+    order, common = suffix_array.enhanced(np.frombuffer(b"".join(texts), np.uint8), ends - [len(t) for t in texts], ends, 8)
+    assert [texts[i] for i in order] == sorted(texts) and common.tolist() == [0, 1, 2, 3]
+
+
+def meet(rows, level, least, **how):
+    """What a shuffle and sort between two steps do, in one process."""
+    import pyarrow as pa
+
+    table = pa.Table.from_batches(list(rows)).sort_by([(c, "ascending") for c in level])
+    return table.to_batches(max_chunksize=how.pop("chunk", 50))
+
+
+def removed(texts, key_bytes, least=100):
+    """Flags of removed bytes by the steps that Spark's tasks run, without Spark."""
+    import pyarrow as pa
+
+    names = ["id", "tx", "text"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([7] * len(texts), pa.int64()), pa.array(texts, pa.binary())], names=names)
+    asked: dict = {}
+    for b in suffix_array._met(meet([suffix_array._anchor_rows(batch.slice(k, 20), least) for k in range(0, len(texts), 20)], ["key"], least)):
+        for i, p in zip(b.column("id").to_pylist(), b.column("place").to_pylist(), strict=True):
+            asked.setdefault(i, []).append(p)
+    batch = batch.append_column("open", pa.array([asked.get(i, []) for i in range(len(texts))], pa.list_(pa.int64())))
+    flags = [bytearray(len(t)) for t in texts]
+    rows = [x for k in range(0, len(texts), 20) for x in suffix_array._contexts(batch.slice(k, 20), least, 69)]
+    levels = 0
+    for span in (23, 1, None):
+        found = list(suffix_array._repeats(meet(rows, ["key", "bytes", "id", "tx", "start"], least), least, key_bytes)) if rows else []
+        crowded = []
+        for b in found:
+            for i, x, y, raw in zip(*(b.column(c).to_pylist() for c in ("id", "start", "at", "bytes")), strict=True):
+                if raw is None:
+                    flags[i][x:y] = b"\1" * (y - x)
+            crowded.append(b.filter(b.column("bytes").is_valid()))
+        rows = [x for b in crowded for x in suffix_array._finer(b, least, span)] if span else crowded
+        levels += any(b.num_rows for b in rows)
+    return flags, levels
+
+
+@pytest.mark.parametrize("key_bytes", [1 << 20, 700])
+def test_repeats_at_every_level(key_bytes):
+    texts = [(t or "").encode() for _, t in corpus(7, 80)]
+    rng = random.Random(1)
+    core = words(rng, 30).encode()
+    texts += [words(rng, 8).encode() + core[: rng.randint(60, len(core))] + words(rng, 9).encode() for _ in range(120)]
+    flags, levels = removed(texts, key_bytes)
+    assert flags == brute.covered(texts)
+    assert levels == (0 if key_bytes > 700 else 2)
+
+
+def test_only_maximal_repeats_remove(monkeypatch):
+    texts = [(t or "").encode() for _, t in corpus(7, 80)]
+    none = np.zeros(0, np.int64)
+    monkeypatch.setattr(suffix_array, "maximal_repeats", lambda order, *_: (none, np.zeros(1, np.int64), none))
+    for key_bytes in (1 << 20, 700):
+        assert not any(map(any, removed(texts, key_bytes)[0]))
+
+
+def test_repeats_of_a_crowded_anchor_stay_within_memory():
+    """A million distinct contexts of one anchor pass through one task; what it holds is bounded by KEY_BYTES."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def batches():
+        at = 0
+        for _ in range(100):
+            n = 10_000
+            data = [b"a" * 40 + b"%07d" % (at + i) + b"b" * 70 for i in range(n)]
+            k = np.zeros(n, np.int64)
+            yield suffix_array._rows(k, data, np.arange(at, at + n), k, k, k + 8, False)
+            at += n
+
+    tracemalloc.start()
+    out = sum(b.num_rows - b.column("bytes").null_count for b in suffix_array._repeats(batches(), 100))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out == 1_000_000 and peak < 300 << 20, (out, peak)
+    assert pa.total_allocated_bytes() < 300 << 20
+
+
+def test_repeats_ids_at_the_edges(spark):
+    t = words(random.Random(9), 60)
+    least = -(1 << 63)
+    d = spark.createDataFrame([(least, t), (None, "short"), ((1 << 63) - 1, t)], "doc_id bigint, text string")
+    got = {r.doc_id: r.n_removed for r in suffix_array.remove_repeats(d).collect()}
+    assert got == {least: 0, None: 0, (1 << 63) - 1: len(t.encode())}
+
+
 def test_near_duplicates(spark, docs, rows, monkeypatch):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs, shingle_words=3, percent=85).collect()}
     for d, n, c in brute.components(rows):
