@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import html as entities
 import re
 from collections import defaultdict
 
+import xxhash
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ALPHA = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -64,9 +67,9 @@ def covered(texts, least=100):
     return out
 
 
-def shingles(text):
+def shingles(text, n=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(ALPHA))
-    return {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
 def components(docs):
@@ -94,3 +97,105 @@ def components(docs):
                 a, b = find(d), find(sets[j][0])
                 root[max(a, b)] = min(a, b)
     return [(d, len(s), find(d)) for d, s in sets]
+
+
+def _h(*values):
+    """Spark's xxhash64 of some values."""
+    seed = 42
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True) if isinstance(v, Long) else int(v).to_bytes(4, "little", signed=True)
+        seed = xxhash.xxh64_intdigest(raw, seed & (1 << 64) - 1) if v is not None else seed
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+class Long(int):
+    pass
+
+
+def sketch(text):
+    """One-permutation MinHash of five-word shingles in 256 bins, densified, four bits a bin."""
+    w = [Long(_h(x)) for x in WORD.findall((text or "").translate(ALPHA))]
+    if not w:
+        return ""
+    hashes = {_h(*w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    bins = {}
+    for h in hashes:
+        # bins are counted in signed order, so the upper half comes first
+        b = (h >> 56) + 128
+        rest = h & (1 << 56) - 1
+        if rest != (1 << 56) - 1:
+            bins[b] = min(bins.get(b, h), h)
+    out = []
+    for j in range(256):
+        tries = [_h(j, t) % 256 for t in range(12)] + sorted(bins, key=lambda i: (_h(j, i, 12), i))
+        at = j if j in bins else next(t for t in tries if t in bins)
+        out.append(f"{_h(Long(bins[at]), j) & 15:x}")
+    return "".join(out)
+
+
+def sketch_likeness(a, b):
+    if not a or not b:
+        return float(a == b)
+    share = sum(x == y for x, y in zip(a, b, strict=True)) / 256
+    return max(0.0, min(1.0, (share - 1 / 16) / (15 / 16)))
+
+
+# Elements within a line, and those whose content is no text of the page.
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input".split())
+SILENT = ("template", "svg", "iframe", "canvas", "audio", "video")
+
+
+def block_texts(page):
+    """Texts between block-level tags, read one character after another."""
+    out, held, at = [], "", 0
+    low = page.lower()
+
+    def flush():
+        nonlocal held
+        text = " ".join(entities.unescape(held).split())
+        if text:
+            out.append(text)
+        held = ""
+
+    while at < len(page):
+        if page[at] != "<":
+            held += page[at]
+            at += 1
+            continue
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 2)
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        if page[at + 1 : at + 2] in ("!", "?") and page[at + 1 : at + 2]:
+            end = page.find(">", at)
+            at = end + 1 if end >= 0 else len(page)
+            continue
+        m = re.match(r"</?([a-z][a-z0-9:-]*)", low[at : at + 60])
+        if not m:
+            held += "<"
+            at += 1
+            continue
+        closing, name = low[at + 1] == "/", m[1]
+        at += m.end()
+        value = False  # a quote opens a value after an equals sign only
+        while at < len(page) and page[at] != ">":
+            c = page[at]
+            if value and c in "\"'" and page.find(c, at + 1) >= 0:
+                at = page.find(c, at + 1) + 1
+                value = False
+                continue
+            value = c == "=" or (value and c.isspace())
+            at += 1
+        at = min(len(page), at + 1)
+        if name in ("script", "style", *SILENT) and not closing:
+            end = re.compile(rf"</{name}\s*>").search(low, at)
+            if end:
+                at = end.end()
+            elif name in ("script", "style"):
+                at = len(page)
+        elif name in INLINE:
+            held += " " if name in ("br", "img", "input") else ""
+        elif name not in ("script", "style", *SILENT):
+            flush()
+    flush()
+    return out

@@ -3,7 +3,8 @@
 The index holds a posting (term, document, position) for every corpus token whose term occurs in the
 benchmark. Corpus frequencies come from the postings. Each window of an item is looked up by its two
 rarest terms: their posting lists, shifted by the terms' offsets in the item, meet in an alignment
-(document, item, shift) only where both agree. Alignments are then compared word by word with the text.
+(document, item, shift) only where both agree. Alignments are then compared word by word with the text; a
+document's row holds the words of an item once, whatever the number of its alignments.
 
 Defined results: a null text or text without words has no words and is never hit; an item without words
 is ignored; items that repeat count once per distinct ``item_id``; a null ``item_id`` can hit but is not
@@ -23,6 +24,8 @@ from tidemark.llm.storage import materialize
 WINDOW = 10
 #: Terms whose lists are intersected before a window's alignment is compared with the text.
 RAREST = 2
+#: Bytes of an item table that may be broadcast.
+SENT_BYTES = 48 << 20
 
 
 @dataclass(frozen=True)
@@ -49,6 +52,12 @@ def build_index(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     return PositionalIndex(postings, materialize(postings.groupBy("term").agg(F.count("*").alias("n")), "terms"))
 
 
+def _sent(rows: DataFrame, size: Column) -> DataFrame:
+    """``rows`` of a written table, marked for broadcast if their bytes are within ``SENT_BYTES``."""
+    total = rows.agg(F.sum(size + 64)).first()[0] or 0
+    return F.broadcast(rows) if total <= SENT_BYTES else rows
+
+
 def _lookups(index: PositionalIndex, items: DataFrame, window: int, rarest: int) -> DataFrame:
     """ik, s, off, term: for each window (start s) of an item whose terms all occur, its rarest terms' offsets."""
     n = F.size("words")
@@ -66,10 +75,10 @@ def alignments(index: PositionalIndex, items: DataFrame, window: int = WINDOW, r
     """id, tx, ik, shift: where the shifted lists of all the rarest terms of some window of the item meet."""
     chosen = materialize(_lookups(index, items, window, rarest), "lookups")
     anchors = chosen.select("term", "ik", "off").distinct()
-    needs = chosen.groupBy("ik", "s").agg(F.sort_array(F.collect_set("off")).alias("offs")).groupBy("ik").agg(F.collect_set("offs").alias("needs"))
+    needs = materialize(chosen.groupBy("ik", "s").agg(F.sort_array(F.collect_set("off")).alias("offs")).groupBy("ik").agg(F.collect_set("offs").alias("needs")), "needs")
     met = index.postings.join(small(anchors, anchors.count()), "term")
     met = met.groupBy("id", "tx", "ik", (F.col("pos") - F.col("off")).alias("shift")).agg(F.collect_set("off").alias("offs"))
-    met = met.join(small(needs, needs.count(), 100_000), "ik")
+    met = met.join(_sent(needs, F.size("needs") * (rarest + 2) * 8), "ik")
     return met.where(F.exists("needs", lambda w: F.size(F.array_except(w, F.col("offs"))) == 0)).select("id", "tx", "ik", "shift")
 
 
@@ -90,17 +99,19 @@ def proximity_matches(index: PositionalIndex, items: DataFrame, slop: int, rares
 
 
 def _hits(words: Column, found: Column, window: int) -> Column:
-    """For each alignment: its item_id and the word positions inside matching windows."""
+    """For each item that aligns somewhere: its item_id and the word positions inside matching windows."""
 
     def one(c: Column) -> Column:
-        same = F.transform(c["words"], lambda w, i: F.coalesce(F.get(words, c["shift"] + i) == w, F.lit(False)))
         size = F.least(F.lit(window), F.size(c["words"]))
 
-        def at(flags: Column) -> Column:
-            starts = F.filter(F.sequence(F.lit(0), F.size(flags) - size), lambda s: ~F.array_contains(F.slice(flags, s + 1, size), False))
-            return F.flatten(F.transform(starts, lambda s: F.sequence(c["shift"] + s, c["shift"] + s + size - 1)))
+        def at(shift: Column) -> Column:
+            same = F.transform(c["words"], lambda w, i: F.coalesce(F.get(words, shift + i) == w, F.lit(False)))
+            # where the words differ, with the ends of the item: between two such places lies a run of equal words
+            breaks = F.concat(F.array(F.lit(-1)), F.filter(F.transform(same, lambda x, i: F.when(~x, i)), lambda i: i.isNotNull()), F.array(F.size(c["words"])))
+            runs = lambda b: F.transform(F.slice(b, 2, F.size(b) - 1), lambda e, k: F.struct((F.get(b, k) + 1).alias("lo"), e.alias("hi")))
+            return F.flatten(F.transform(F.filter(let(breaks, runs), lambda r: r["hi"] - r["lo"] >= size), lambda r: F.sequence(shift + r["lo"], shift + r["hi"] - 1)))
 
-        return F.struct(c["item_id"].alias("item_id"), let(same, at).alias("at"))
+        return F.struct(c["item_id"].alias("item_id"), F.flatten(F.transform(c["shifts"], at)).alias("at"))
 
     return F.filter(F.transform(F.coalesce(found, F.array()), one), lambda x: F.size(x["at"]) > 0)
 
@@ -109,8 +120,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """Per document row: id, text, ``keep`` columns, n_words, positions hit (sorted), item_ids (sorted), contaminated."""
     items = materialize(items_of(benchmark, item_id_col, item_text_col), "items")
     index = build_index(docs, items, id_col, text_col)
-    met = alignments(index, items, window).join(small(items, items.count(), 100_000), "ik")
-    met = met.groupBy("id", "tx").agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("found"))
+    met = alignments(index, items, window).groupBy("id", "tx", "ik").agg(F.collect_set("shift").alias("shifts"))
+    met = met.join(_sent(items, F.octet_length(F.concat_ws(" ", "words"))), "ik")
+    met = met.groupBy("id", "tx").agg(F.collect_list(F.struct("item_id", "shifts", "words")).alias("found"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep))).withColumn("tx", F.xxhash64("text"))
     joined = rows.alias("d").join(met.alias("m"), F.col("d.id").eqNullSafe(F.col("m.id")) & (F.col("d.tx") == F.col("m.tx")), "left").select("d.id", "d.text", *(f"d._k{i}" for i in range(len(keep))), "m.found")
     checked = let(alnum_words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.when(F.col("found").isNotNull(), _hits(w, F.col("found"), window)).alias("hits")))

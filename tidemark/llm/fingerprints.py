@@ -1,13 +1,14 @@
 """Document fingerprints by one-permutation MinHash with optimal densification.
 
 Each five-word shingle is hashed once; its high bits name one of 256 bins and each bin keeps its least
-value. An empty bin copies the first non-empty bin of its own fixed hash sequence. A fingerprint is the
+value. An empty bin copies the first non-empty bin of its own hash sequence, which goes on until it meets one: some bins by hash, then
+all bins in the order of a hash. A fingerprint is the
 low four bits of every bin, packed to 128 bytes; likeness is the share of equal entries, corrected for
 the chance of equal low bits.
 
 Defined results: a text without words (null, empty) has an empty fingerprint, likeness 1 to another empty
-one and 0 to any other; a text of one to four words is one shingle; documents are ordered by id, nulls
-first, and equal ids by text, and the last is followed by the first; other columns are ignored.
+one and 0 to any other; a text of one to four words is one shingle; documents are ordered by id (of any type that can be sorted), nulls
+first, and equal ids by a hash of their text; repeated rows follow one another, and the last is followed by the first; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.native import alnum_words, let
+from tidemark.llm.storage import materialize
 
 SHINGLE_WORDS = 5
 BIN_BITS = 8
@@ -25,8 +27,10 @@ _BELOW = 64 - BIN_BITS
 _REST = (1 << _BELOW) - 1
 #: Look-ups of a bin's sequence one by one, before the filled bins are ranked by their places in the rest of it.
 _TRIES = 12
-#: Documents of one ordered run when neighbours are found.
+#: Documents of an ordered run when neighbours are found, the most runs, and the keys drawn for each.
 RUN_ROWS = 5_000
+MAX_RUNS = 8_192
+SAMPLE_A_RUN = 16
 
 
 def _shingles(text: Column) -> Column:
@@ -75,32 +79,52 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), (a == b).cast("double")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), guess)))
 
 
-def with_next(rows: DataFrame, order: str, carry: dict[str, Column], derive: dict[str, Column], run_rows: int = RUN_ROWS) -> DataFrame:
-    """``rows`` and the ``derive`` columns, worked out once per row, with ``carry`` of the next row by ``order`` (then by text) as next_<name>; the last row is followed by the first.
+def _cuts(rows: DataFrame, n: int, runs: int) -> DataFrame:
+    """One row: sorted keys that part ``rows`` into about ``runs`` runs, from a sample by hash of about ``SAMPLE_A_RUN`` distinct keys a run."""
+    share = min(1.0, runs * SAMPLE_A_RUN / max(1, n))
+    drawn = rows.where(F.pmod(F.xxhash64("_key"), F.lit(1_000_000_007)) <= int(share * 1_000_000_007)).select("_key")
+    every = drawn.agg(F.sort_array(F.collect_set("_key")).alias("keys"))
+    step = F.greatest(F.lit(1), F.floor(F.size("keys") / F.lit(runs)).cast("int"))
+    return every.select(F.filter("keys", lambda _, i: (i > 0) & (i % step == 0)).alias("cuts"))
 
-    Rows are cut into runs of about ``run_rows`` by approximate quantiles of ``order``; the first row of a
-    run is also sent to the end of the run before. Only run numbers and one id per run are gathered.
+
+def _run_of(key: Column, cuts: Column, runs: int) -> Column:
+    """How many cuts are no greater than the key, by halving."""
+
+    def half(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        above = F.get(cuts, mid) <= key
+        return F.when(acc["lo"] < acc["hi"], F.struct(F.when(above, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(above, acc["hi"]).otherwise(mid).alias("hi"))).otherwise(acc)
+
+    rounds = F.sequence(F.lit(0), F.lit((runs * SAMPLE_A_RUN).bit_length()))
+    return F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi")), half, lambda acc: acc["lo"])
+
+
+def with_next(rows: DataFrame, order: str, carry: dict[str, Column], derive: dict[str, Column], run_rows: int = RUN_ROWS, max_runs: int = MAX_RUNS) -> DataFrame:
+    """``rows`` and the ``derive`` columns, worked out once per row, with ``carry`` of the next row by ``order`` (any type that can be sorted), then by a hash of text, as next_<name>; the last row is followed by the first.
+
+    Rows are cut into at most ``max_runs`` runs of about ``run_rows`` by keys drawn from all; the first row of a run is
+    also sent to the end of the run before. What is sent to all tasks is one key a run.
     """
+    rows = rows.withColumn("_tx", F.xxhash64("text"))
+    rows = rows.withColumn("_key", F.struct(F.col(order).isNotNull().alias("some"), F.col(order).alias("key"), F.col("_tx").alias("tx")))
     n = rows.count()
-    runs = max(1, -(-n // run_rows))
-    key = F.col(order)
-    cuts: list = []
+    runs = min(max_runs, max(1, -(-n // run_rows)))
     if runs > 1:
-        share = [i / runs for i in range(1, runs)]
-        cuts = sorted(set(rows.select(F.percentile_approx(key, F.lit(share).cast("array<double>"), F.lit(runs * 10))).first()[0] or []))
-    run = F.when(key.isNull(), F.lit(0)).otherwise(F.size(F.filter(F.lit(cuts), lambda c: c <= key))) if cuts else F.lit(0)
-    rows = rows.withColumn("_run", run).withColumn("_tx", F.xxhash64("text"))
-    firsts = rows.groupBy("_run").agg(F.min(F.struct(key.isNotNull().alias("some"), key.alias("key"), F.col("_tx").alias("tx"))).alias("f")).orderBy("_run").collect()
-    before = [(f["f"]["some"], f["f"]["key"], f["f"]["tx"], firsts[i - 1]["_run"]) for i, f in enumerate(firsts)]
-    spark = rows.sparkSession
-    ends = spark.createDataFrame(before, f"some boolean, key {rows.schema[order].dataType.simpleString()}, tx bigint, prev int")
-    ghosts = rows.join(F.broadcast(ends), key.eqNullSafe(F.col("key")) & (F.col("_tx") == F.col("tx"))).select(*[c for c in rows.columns if c != "_run"], F.col("prev").alias("_run"), F.lit(True).alias("_ghost"))
-    ghosts = ghosts.dropDuplicates([order, "_tx", "_run"])
+        cuts = materialize(_cuts(rows, n, runs), "cuts")
+        rows = rows.withColumn("_cuts", cuts.scalar()).withColumn("_run", _run_of(F.col("_key"), F.col("_cuts"), runs)).drop("_cuts")
+    else:
+        rows = rows.withColumn("_run", F.lit(0))
+    # one row a run; the first run's first row goes to the end of the last
+    firsts = materialize(rows.groupBy("_run").agg(F.min("_key").alias("_key")), "runs")
+    by = Window.orderBy("_run")
+    ends = firsts.select("_key", F.coalesce(F.lag("_run").over(by), F.max("_run").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_before"))
+    ghosts = rows.join(F.broadcast(ends), "_key").drop("_run").withColumnRenamed("_before", "_run").withColumn("_ghost", F.lit(True)).dropDuplicates(["_key", "_run"])
     both = rows.withColumn("_ghost", F.lit(False)).unionByName(ghosts).withColumns(derive)
-    w = Window.partitionBy("_run").orderBy("_ghost", key.asc_nulls_first(), "_tx")
+    w = Window.partitionBy("_run").orderBy("_ghost", "_key")
     for name, value in carry.items():
         both = both.withColumn(f"next_{name}", F.lead(value).over(w))
-    return both.where(~F.col("_ghost")).drop("_run", "_tx", "_ghost")
+    return both.where(~F.col("_ghost")).drop("_run", "_tx", "_ghost", "_key")
 
 
 def edited_text(text: Column, following: Column) -> Column:

@@ -5,19 +5,27 @@ its tag path (names, classes and ids of the open elements), a hashed vector of i
 measures. A bidirectional LSTM in numpy reads the sequence and labels every block as main text or not.
 
 The model is trained here, on pages drawn from a grammar of layouts whose labels are known by
-construction; its size and the number of pages are parameters, so it does not depend on the corpus.
+construction; its size and the number of pages are parameters, so it does not depend on the corpus. Its
+weights are kept in the shared folder under a hash of this module.
+
+Reading a page takes time in proportion to its length, whatever its tags; a page's blocks are labelled as one
+sequence, so its vectors (about 1 kB a block) stand in memory together.
 
 Defined results: a null or empty page has an empty text; text inside script, style, template, svg,
 iframe, canvas, audio and video is never a block, but of these only script and style reach to the end of the page if left
-open; any other element left open ends with its page; repeated rows give repeated results; other
+open; any other element left open ends with its page; a comment or tag that never ends reaches to the end of the page, a quote that is
+never closed ends with its tag; repeated rows give repeated results; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
+import inspect
 import random
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,10 +33,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.textbatch import ALNUM, LOWER, PrefixHash, words
+from tidemark.llm.storage import kept
+from tidemark.llm.textbatch import ALNUM, LOWER, PrefixHash, bound_batches, give_back, words
 
 PATH_DIM, WORD_DIM, MEASURES = 96, 32, 8
 INPUT_DIM = PATH_DIM + WORD_DIM + MEASURES
@@ -38,13 +47,16 @@ SEED = 20_240_501
 #: Blocks labelled at a time (a longer page is taken alone).
 BATCH_BLOCKS = 12_000
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""",
-    re.S | re.I,
-)
+#: A tag whose quotes are in order; no attempt reads past the next angle bracket, so reading is linear in the page.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']|"[^"<>]*"|'[^'<>]*')*+)>""")
+#: Any other tag is read attribute by attribute.
+_OPENING = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+_NEXT = re.compile(r"[\s/]*+([^\s/>=]*+)\s*+(=?)\s*+")
+_BARE = re.compile(r"[^\s>]*+")
+_RAW = {name: re.compile(rf"</{name}\s*+>", re.I) for name in ("script", "style")}
 #: What these hold is not text of the page. Without an end tag they are no more than their own tag.
-_CUT = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("template", "svg", "iframe", "canvas", "audio", "video")}
-_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_CUT = {name: re.compile(rf"</{name}\s*+>", re.I) for name in ("template", "svg", "iframe", "canvas", "audio", "video")}
+_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]++))""", re.I)
 # Elements of HTML that stay inside a line of text, and those that have no content.
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input".split())
 _INLINE |= frozenset("math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot msup msub msubsup mover munder munderover mmultiscripts mprescripts mstyle mpadded mphantom merror menclose mtable mtr mtd".split())
@@ -56,16 +68,92 @@ _HOLDS = frozenset(("ul", "ol", "dl", "table", "select"))
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    path: np.ndarray
+    depth: int
     link_chars: int
 
 
+_elements: dict[str, np.ndarray] = {}
+
+
+def _hashed(marks: list[str]) -> np.ndarray:
+    out = np.zeros(PATH_DIM, np.int32)
+    for x in marks:
+        h = zlib.crc32(x.encode())
+        out[h % PATH_DIM] += 1 if h >> 31 else -1
+    return out
+
+
+def _element(name: str) -> np.ndarray:
+    """Hashed vector of an element's name, classes, id and role."""
+    got = _elements.get(name)
+    if got is None:
+        if len(_elements) > 20_000:
+            _elements.clear()
+        got = _elements[name] = _hashed([x for x in re.split(r"[\s_:-]+", name) if x])
+    return got
+
+
+class _Open:
+    """The open elements. Each holds the sum of the vectors down to itself, so a block's path costs the same at any depth, and
+    the places of every name are kept, so that no search goes through the whole stack."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.paths: list[np.ndarray] = []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, name: str, marks: str) -> None:
+        own = _element(marks)
+        self.paths.append(self.paths[-1] + own if self.paths else own)
+        self.places.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+
+    def last(self, name: str) -> int:
+        return (self.places.get(name) or (-1,))[-1]
+
+    def close(self, at: int) -> None:
+        """Close the element at this place and all within it."""
+        for name in self.names[at:]:
+            self.places[name].pop()
+        del self.names[at:], self.paths[at:]
+
+
+def _odd_tag(page: str, at: int, missing: set[str]) -> tuple[int, str]:
+    """End of the tag whose attributes begin at ``at``, and its class, id and role. A quote that is never closed is none; ``missing`` holds quotes that no longer occur."""
+    found, n = [], len(page)
+    while True:
+        m = _NEXT.match(page, at)
+        at, value = m.end(), ""
+        if at >= n:
+            return n, " ".join(found)
+        if m[2]:
+            mark = page[at]
+            end = -1
+            if mark in "\"'" and mark not in missing:
+                end = page.find(mark, at + 1)
+                if end < 0:
+                    missing.add(mark)
+            if end >= 0:
+                value, at = page[at + 1 : end], end + 1
+            else:
+                bare = _BARE.match(page, at)
+                value, at = bare[0], bare.end()
+        if m[1].lower() in ("class", "id", "role"):
+            found.append(value)
+        if at >= n:
+            return n, " ".join(found)
+        if page[at] == ">":
+            return at + 1, " ".join(found)
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The blocks of a page in order, their white space collapsed; blocks without text are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    opened = _Open()
     parts: list[str] = []
     linked, in_link = 0, False
+    nowhere = np.zeros(PATH_DIM, np.int32)
 
     def flush() -> None:
         nonlocal linked
@@ -75,25 +163,55 @@ def leaf_blocks(page: str) -> list[Block]:
                 text = entities.unescape(text)
             text = " ".join(text.split())
             if text:
-                out.append(Block(text, tuple(x[1] for x in stack), linked))
+                path = opened.paths[-1] + _element("leaf " + opened.names[-1]) if opened.names else nowhere
+                out.append(Block(text, path, len(opened.names), linked))
             parts.clear()
         linked = 0
 
-    at = 0
+    def add(piece: str) -> None:
+        nonlocal linked
+        parts.append(piece)
+        if in_link:
+            linked += len(piece)
+
+    at, n = 0, len(page)
     unclosed: set[str] = set()
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            piece = page[at : m.start()]
-            parts.append(piece)
-            if in_link:
-                linked += len(piece)
-        at = m.end()
-        name = m[3]
-        if name is None:
+    missing: set[str] = set()
+    while at < n:
+        start = page.find("<", at)
+        if start < 0:
+            add(page[at:])
+            break
+        if start > at:
+            add(page[at:start])
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 2)
+            at = end + 3 if end >= 0 else n
+            continue
+        if page.startswith(("<!", "<?"), start):
+            end = page.find(">", start)
+            at = end + 1 if end >= 0 else n
+            continue
+        if m := _TAG.match(page, start):
+            at = m.end()
+            rest = m[3]
+            marks = "".join(" " + (x[1] or x[2] or x[3] or "") for x in _ATTRIBUTE.findall(rest)) if rest else ""
+        elif m := _OPENING.match(page, start):
+            at, marks = _odd_tag(page, m.end(), missing)
+            marks = " " + marks
+        else:
+            add("<")
+            at = start + 1
+            continue
+        closing, name = m[1], m[2].lower()
+        empty = page[at - 2] == "/"
+        if name in _RAW:
+            if not closing:
+                end = _RAW[name].search(page, at)
+                at = end.end() if end else n
             continue
-        name = name.lower()
         if name in _CUT:
-            if not m[2] and name not in unclosed and not (name == "svg" and m[4].endswith("/")):
+            if not closing and name not in unclosed and not (name == "svg" and empty):
                 if end := _CUT[name].search(page, at):
                     at = end.end()
                 else:
@@ -101,54 +219,28 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         if name in _INLINE:
             if name == "a":
-                in_link = not m[2]
+                in_link = not closing
             elif name in ("br", "img", "input"):
                 parts.append(" ")
             continue
         flush()
         in_link = False
-        if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+        if closing:
+            if (k := opened.last(name)) >= 0:
+                opened.close(k)
             continue
-        if stack and stack[-1][0] == "p":
-            stack.pop()
+        if opened.names and opened.names[-1] == "p":
+            opened.close(len(opened.names) - 1)
         for other in _CLOSED_BY.get(name, ()):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == other:
-                    del stack[k:]
-                    break
-                if stack[k][0] in _HOLDS:
-                    break
-        if name not in _VOID and not m[4].endswith("/"):
-            extra = "".join(" " + (x[1] or x[2] or x[3] or "") for x in _ATTRIBUTE.findall(m[4])) if m[4] else ""
-            stack.append((name, (name + extra).lower()))
-    if at < len(page):
-        parts.append(page[at:])
+            k = opened.last(other)
+            if k >= 0 and k > max(map(opened.last, _HOLDS)):
+                opened.close(k)
+        if name not in _VOID and not empty:
+            opened.push(name, (name + marks).lower())
     flush()
     return out
 
 
-_paths: dict[tuple[str, ...], np.ndarray] = {}
-
-
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    got = _paths.get(path)
-    if got is None:
-        if len(_paths) > 20_000:
-            _paths.clear()
-        got = np.zeros(PATH_DIM, np.float32)
-        marks = [x for e in path for x in re.split(r"[\s_:-]+", e) if x]
-        for x in [*marks, "leaf " + (path[-1].split()[0] if path else "")]:
-            h = zlib.crc32(x.encode())
-            got[h % PATH_DIM] += 1.0 if h >> 31 else -1.0
-        _paths[path] = np.clip(got, -2, 2)
-        got = _paths[path]
-    return got
-
-
 def vectors(blocks: list[Block]) -> np.ndarray:
     x = np.zeros((len(blocks), INPUT_DIM), np.float32)
     raw = [b.text.encode() for b in blocks]
@@ -162,8 +254,8 @@ def vectors(blocks: list[Block]) -> np.ndarray:
         x[:, PATH_DIM : PATH_DIM + WORD_DIM] = np.clip(bag / np.sqrt(np.maximum(1, np.bincount(owner, minlength=len(blocks))))[:, None], -2, 2)
     n_words = np.bincount(owner, minlength=len(blocks)) if len(start) else np.zeros(len(blocks))
     for i, b in enumerate(blocks):
-        x[i, :PATH_DIM] = _path_vector(b.path)
-        x[i, PATH_DIM + WORD_DIM :] = (np.log1p(n_words[i]) / 3, min(1.0, b.link_chars / len(b.text)), b.text[-1] in ".!?…:;", "|" in b.text or "»" in b.text, "©" in b.text, min(len(b.path), 12) / 6, n_words[i] < 4, 1.0)
+        x[i, :PATH_DIM] = np.clip(b.path, -2, 2)
+        x[i, PATH_DIM + WORD_DIM :] = (np.log1p(n_words[i]) / 3, min(1.0, b.link_chars / len(b.text)), b.text[-1] in ".!?…:;", "|" in b.text or "»" in b.text, "©" in b.text, min(b.depth, 12) / 6, n_words[i] < 4, 1.0)
     return x
 
 
@@ -408,6 +500,31 @@ def trained(pages: int = TRAIN_PAGES, seed: int = SEED) -> BiLstm:
     return model
 
 
+def _source() -> str:
+    """Names the model by all that it follows from."""
+    return hashlib.sha256(f"{inspect.getsource(sys.modules[__name__])} {TRAIN_PAGES} {SEED} {np.__version__}".encode()).hexdigest()
+
+
+_SHAPES = "name string, shape array<bigint>, weights array<double>"
+
+
+def kept_model(spark: SparkSession) -> BiLstm:
+    """The trained model: from this process, else from the shared folder, else trained and written there."""
+    if _ready:
+        return _ready[0]
+
+    def rows() -> list[tuple]:
+        return [(k, list(v.shape), v.reshape(-1).astype(float).tolist()) for k, v in trained().p.items()]
+
+    model = BiLstm()
+    model.p = {r["name"]: np.array(r["weights"], np.float32).reshape(r["shape"]) for r in kept(spark, f"html-{_source()}", rows, _SHAPES).collect()}
+    _ready.append(model)
+    return model
+
+
+_ready: list[BiLstm] = []
+
+
 def extract_batch(pages: list[str | None], model: BiLstm) -> list[str]:
     found = [leaf_blocks(p) if p else [] for p in pages]
     out = [""] * len(pages)
@@ -429,7 +546,8 @@ def extract_batch(pages: list[str | None], model: BiLstm) -> list[str]:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", model: BiLstm | None = None) -> DataFrame:
     """id, url and main text of every page."""
-    sent = pages.sparkSession.sparkContext.broadcast((model or trained()).p)
+    bound_batches(pages.sparkSession)
+    sent = pages.sparkSession.sparkContext.broadcast((model or kept_model(pages.sparkSession)).p)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,6 +558,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 part = batch.slice(a, 400)
                 texts = extract_batch(part.column("html").to_pylist(), net)
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), pa.array(texts, pa.string())], names=["id", "url", "text"])
+            give_back()
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, url string, text string").select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")

@@ -6,14 +6,16 @@
 3. Leaders meet the least leader of each of their band buckets; the pairs are checked on full sets.
 4. Two documents of one bucket that both fail against its least leader can still be alike. Where those
    who met one leader lie in several components, they are compared with one another on full sets, dealt
-   out in blocks of ``BLOCK`` documents; a task returns the links that join components, at most one less
+   out in blocks of ``BLOCK`` documents or ``BLOCK_BYTES`` of text; a task returns the links that join components, at most one less
    than its documents, never its pairs.
 5. Components of the checked links by alternating stars.
 
 Rows per band are fixed and bands follow from the threshold, so that a pair at the threshold shares no
 bucket with probability below 1e-7.
 
-Defined results: a null or wordless text has no shingles and is linked with nothing; fewer words than a
+Links are confirmed on the words themselves; sets are taken for equal by 128 bits over 64-bit hashes of their shingles.
+
+Defined results: ids are integers (a text that is no number fails); a null or wordless text has no shingles and is linked with nothing; fewer words than a
 shingle make one shingle; rows of equal id are one document; a row with a null id is linked with
 nothing, its component is null and it is kept; other columns are ignored.
 """
@@ -24,6 +26,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +38,11 @@ from tidemark.llm.textbatch import LOWER, NONSPACE, PrefixHash, bound_batches, c
 
 ROWS = 5
 MISS = 1e-7
-#: Documents of a block; a task compares two blocks at most.
+#: Documents and text bytes of a block, on average; a task compares two blocks at most.
 BLOCK = 4_000
+BLOCK_BYTES = 8 << 20
+#: Pairs whose sets are compared at a time.
+PAIRS = 200
 
 
 def bands_for(percent: int) -> int:
@@ -105,9 +111,30 @@ def _sketch(batch: pa.RecordBatch, width: int, bands: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(n), pa.array(digest[0]), pa.array(digest[1]), keys], names=["id", "n", "d1", "d2", "keys"])
 
 
-def _set_of(text: str, width: int) -> np.ndarray:
-    raw = np.frombuffer(text.encode(), np.uint8)
-    return distinct_sets(LOWER[raw], np.array([0, len(raw)]), width)[0]
+_FOLD = LOWER.tobytes()
+
+
+def exact_sets(texts: list[str], width: int) -> list[np.ndarray]:
+    """The shingle sets of some texts as sorted numbers. Words are named by equality, runs of words by equality of their parts, so equal numbers
+    are equal shingles."""
+    lists = [t.encode().translate(_FOLD).split() for t in texts]
+    sizes = np.array([len(x) for x in lists])
+    if not sizes.sum():
+        return [np.zeros(0, np.int64) for _ in texts]
+    word = np.empty(sizes.sum(), object)
+    word[:] = [w for x in lists for w in x]
+    code, names = pd.factorize(word)
+    code = code.astype(np.int64)
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(code))  # words from here to the text's end
+    run = code.copy()
+    for k in range(1, width):
+        longer = np.flatnonzero(left > k)
+        run[longer] = pd.factorize(run[longer] * len(names) + code[longer + k])[0]
+    length = np.minimum(sizes, width)[doc]
+    whole = left >= length
+    out = np.unique(np.stack([doc[whole], run[whole] * (width + 1) + length[whole]]), axis=1) if whole.any() else np.zeros((2, 0), np.int64)
+    return np.split(out[1], np.cumsum(np.bincount(out[0], minlength=len(texts)))[:-1])
 
 
 def _needed(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -124,19 +151,18 @@ def _checked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     both = pairs.join(text_b, "b").join(text_a, "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
-
         for batch in batches:
-            keep = []
-            for at in range(batch.num_rows):
-                text = batch.column("text_a")[at].as_py()
-                if text != last[0]:
-                    last = (text, _set_of(text, width))
-                other = _set_of(batch.column("text_b")[at].as_py(), width)
-                shared = len(np.intersect1d(last[1], other, assume_unique=True))
-                if 100 * shared >= percent * (len(last[1]) + len(other) - shared):
-                    keep.append(at)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            for part in (batch.slice(k, PAIRS) for k in range(0, batch.num_rows, PAIRS)):
+                leaders = part.column("text_a").to_pylist()
+                place = {t: i for i, t in enumerate(dict.fromkeys(leaders))}
+                sets = exact_sets([*place, *part.column("text_b").to_pylist()], width)
+                keep = []
+                for at, t in enumerate(leaders):
+                    mine, other = sets[place[t]], sets[len(place) + at]
+                    shared = len(np.intersect1d(mine, other, assume_unique=True))
+                    if 100 * shared >= percent * (len(mine) + len(other) - shared):
+                        keep.append(at)
+                yield part.select(["a", "b"]).take(pa.array(keep, pa.int64()))
             give_back()
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}").distinct()
@@ -194,7 +220,7 @@ def _compare_blocks(rows: DataFrame, width: int, percent: int) -> DataFrame:
     def solve(group: list[tuple]) -> Iterator[pa.RecordBatch]:
         group = sorted(set(group))
         lo, hi = group[0][1], group[0][2]
-        sets = [_set_of(x[6], width) for x in group]
+        sets = exact_sets([x[6] for x in group], width)
         side = None if lo == hi else np.array([x[3] == lo for x in group])
         found = joining_links(sets, np.array([x[5] for x in group]), side, percent)
         if found:
@@ -238,9 +264,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = materialize(_checked(pairs, texts, shingle_words, percent), "links")
     parts = connected_components(links)
     met = pairs.join(parts, pairs["b"] == parts["id"], "left").select("a", "b", F.coalesce("component", "b").alias("component"))
-    open_leaders = met.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("a", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    open_leaders = met.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("a")
     wide = materialize(met.join(open_leaders, "a"), "open")
-    wide = wide.join(_needed(texts, wide.select(F.col("b").alias("id"))).withColumnRenamed("id", "b"), "b").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    wide = materialize(wide.join(_needed(texts, wide.select(F.col("b").alias("id"))).withColumnRenamed("id", "b"), "b"), "open")
+    sizes = wide.groupBy("a").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    wide = wide.join(sizes, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     wide = wide.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     wide = wide.select("a", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", F.col("b").alias("id"), "component", "text")
     extra = materialize(_compare_blocks(wide, shingle_words, percent), "links")

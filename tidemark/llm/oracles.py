@@ -54,9 +54,11 @@ def _op7() -> str:
     fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
     longest = sorted(reputation.RULES, key=lambda r: -len(r[1] + r[2]))
     case = lambda value: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{value(v, h + p)}'" for v, h, p in longest) + " END"
-    bare, two = "regexp_replace(host, ':[0-9]*$', '')", ", ".join(map(repr, reputation.TWO_LABEL))
+    bare = "regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '')"
     last = lambda k: f"array_to_string(list_slice(string_split({bare}, '.'), -{k}, -1), '.')"
-    levels = f"CASE WHEN {last(2)} IN ({two}) THEN {last(3)} ELSE {last(2)} END AS domain, CASE WHEN {last(2)} IN ({two}) THEN {last(2)} ELSE {last(1)} END AS suffix"
+    number = f"regexp_matches({bare}, '^([0-9]+\\.){{3}}[0-9]+$|^\\[')"
+    long = f"regexp_matches({last(2)}, '^(ac|co|com|edu|gob|gov|go|gouv|ltd|me|mil|ne|net|nom|or|org|plc|sch)\\.[a-z]{{2}}$')"
+    levels = f"CASE WHEN {number} THEN {bare} WHEN {long} THEN {last(3)} ELSE {last(2)} END AS domain, CASE WHEN {number} THEN '' WHEN {long} THEN {last(2)} ELSE {last(1)} END AS suffix"
     parts, above = [], "corpus"
     for level, up in (("suffix", "''"), ("domain", "suffix"), ("host", "domain")):
         parts.append(f"""c_{level} AS (SELECT c.*, alpha / (alpha + beta) AS m FROM (SELECT {level} AS name, {up} AS up, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY 1, 2) c JOIN {above} a ON a.name = c.up),

@@ -22,8 +22,8 @@ from tidemark.llm.storage import materialize
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 LIMIT = 0.5
 DEVIATIONS = 1.64
-#: Suffixes of two labels, after which the registered domain has a third; all others have one label.
-TWO_LABEL = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "com.br", "co.in", "co.za")
+#: Under a country's two letters these labels are part of the suffix, after which the registered domain has a third; all other suffixes have one label.
+GENERIC = "ac|co|com|edu|gob|gov|go|gouv|ltd|me|mil|ne|net|nom|or|org|plc|sch"
 
 
 def host_of(url: Column) -> Column:
@@ -44,11 +44,13 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
 
 
 def levels(host: Column) -> tuple[Column, Column]:
-    """Registered domain and suffix of a host (a port is no part of either)."""
-    bare = F.regexp_replace(host, r":[0-9]*$", "")
+    """Registered domain and suffix of a host. User and port are no part of either; an address in numbers is a domain without suffix."""
+    bare = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
+    number = bare.rlike(r"^([0-9]+\.){3}[0-9]+$|^\[")
     two = F.substring_index(bare, ".", -2)
-    suffix = F.when(two.isin(*TWO_LABEL), two).otherwise(F.substring_index(bare, ".", -1))
-    domain = F.when(two.isin(*TWO_LABEL), F.substring_index(bare, ".", -3)).otherwise(two)
+    long = two.rlike(rf"^({GENERIC})\.[a-z]{{2}}$")
+    suffix = F.when(number, F.lit("")).when(long, two).otherwise(F.substring_index(bare, ".", -1))
+    domain = F.when(number, bare).when(long, F.substring_index(bare, ".", -3)).otherwise(two)
     return domain, suffix
 
 

@@ -10,12 +10,15 @@ positions are code points, end exclusive; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.native import let
+from tidemark.llm.storage import exists
 
 # Kind, pattern, group whose length is held to the least length (0: the whole match), least length.
 BASE_RULES = (
@@ -29,10 +32,19 @@ EXTRA_RULES = (
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 29),
     ("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 27),
 )
-RULE_VERSION = "1"
+#: Follows from the rules, so that findings of other rules are never taken for those of these.
+RULE_VERSION = hashlib.sha256(repr((BASE_RULES, EXTRA_RULES)).encode()).hexdigest()[:16]
 _SPAN = "struct<start:int,rank:int,kind:string,stop:int>"
 
 
+def _scan(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Every value joined with all before it. Each round joins twice as far back, so n values take about n log n steps and no list is grown by one."""
+    rounds = F.when(F.size(values) > 1, F.sequence(F.lit(0), F.floor(F.log2(F.size(values) - F.lit(1))).cast("int"))).otherwise(F.array().cast("array<int>"))
+    back = lambda acc, i, k: F.get(acc, i - F.pow(F.lit(2), k).cast("int"))
+    step = lambda acc, k: F.transform(acc, lambda v, i: F.when(i >= F.pow(F.lit(2), k), join(back(acc, i, k), v)).otherwise(v))
+    return F.aggregate(rounds, values, step)
+
+
 def _spans(text: Column, rank: int, kind: str, pattern: str, group: int, least: int) -> Column:
     """Spans of the non-overlapping matches: between them lie the pieces that the pattern splits off."""
     p = F.lit(pattern)
@@ -41,14 +53,9 @@ def _spans(text: Column, rank: int, kind: str, pattern: str, group: int, least:
         F.transform(F.regexp_extract_all(text, p, F.lit(0)), lambda x: F.char_length(x)).alias("size"),
         F.transform(F.regexp_extract_all(text, p, F.lit(group)), lambda x: F.char_length(x)).alias("held"),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
-
-    def step(acc: Column, m: Column) -> Column:
-        a = acc["at"] + m["gap"]
-        span = F.struct(a.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (a + m["size"]).alias("stop")).cast(_SPAN)
-        return F.struct((a + F.coalesce(m["size"], F.lit(0))).alias("at"), F.when(m["held"] >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
-
-    found = F.aggregate(matches, start, step, lambda acc: acc["spans"])
+    ends = lambda ms: _scan(F.transform(ms, lambda m: m["gap"] + F.coalesce(m["size"], F.lit(0))), lambda a, b: a + b)
+    span = lambda m, end: F.when(m["held"] >= least, F.struct((end - m["size"]).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("stop")).cast(_SPAN))
+    found = F.filter(let(matches, lambda ms: F.zip_with(ms, ends(ms), span)), lambda s: s.isNotNull())
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
@@ -67,9 +74,7 @@ class BlobLedger:
 
     def rows(self, history: DataFrame) -> DataFrame | None:
         spark = history.sparkSession
-        jvm = spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path)
-        if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        if not exists(spark, self.path):
             return None
         return spark.read.schema(f"blob string, rule_version string, spans array<{_SPAN}>").parquet(self.path).where(F.col("rule_version") == self.rule_version)
 
@@ -99,10 +104,10 @@ def spans_text(spans: Column) -> Column:
 def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     """The text with each span (overlapping ones as one) replaced by ``mark``."""
 
-    def step(acc: Column, s: Column) -> Column:
-        cut = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), cut.alias("out"))
+    def cut(ends: Column) -> Column:
+        # where all spans before this one end; a span that begins earlier is part of one of them
+        before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))
+        piece = lambda s, i: F.when(s["start"] >= before(i), F.concat(F.substring(text, before(i) + 1, s["start"] - before(i)), F.lit(mark))).otherwise(F.lit(""))
+        return F.concat_ws("", F.transform(spans, piece), F.substring(text, F.get(ends, F.size(ends) - 1) + 1, F.char_length(text)))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return F.when(F.size(spans) > 0, let(_scan(F.transform(spans, lambda s: s["stop"]), F.greatest), cut)).otherwise(text)

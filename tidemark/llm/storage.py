@@ -1,32 +1,8 @@
-"""Where intermediate tables go: always the folder that driver and executors share."""
+"""Where the corpus operators' intermediate tables go: the core's one scratch module under the names used here."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from tidemark.sources.scratch import cleared, exists, fresh_path, kept
+from tidemark.sources.scratch import written as materialize
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder is set only where none is configured."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        existing = spark.sparkContext.getCheckpointDir()
-        found = existing or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        if not existing:
-            spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back; lineage ends at the written files."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["cleared", "exists", "fresh_path", "kept", "materialize"]

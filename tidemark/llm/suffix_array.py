@@ -511,7 +511,8 @@ def repeated_ranges(rows: DataFrame, least: int = LEAST, key_bytes: int = KEY_BY
 
     anchors = rows.mapInArrow(lambda bs: _released(_anchor_rows(b, least) for b in bs), "key bigint, id bigint, tx bigint, place bigint")
     met = anchors.repartition("key").sortWithinPartitions("key").mapInArrow(_met, "id bigint, tx bigint, place bigint")
-    asked = met.groupBy("id", "tx").agg(F.collect_list("place").alias("open"))
+    # written once, so that the anchors' shuffle can be dropped before texts and contexts need room
+    asked = materialize(met, "anchors").groupBy("id", "tx").agg(F.collect_list("place").alias("open"))
     cut = rows.join(asked, ["id", "tx"]).select("id", "tx", "text", "open").mapInArrow(lambda bs: _released(x for b in bs for x in _contexts(b, least, spans[0])), _ROW)
     found = meet(cut)
     marks = found.where("bytes IS NULL")

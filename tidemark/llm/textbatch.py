@@ -1,7 +1,7 @@
 """Vectorised text work on Arrow batches: bytes of many documents in one array, hashes from prefix sums.
 
-A substring hash is a polynomial in an odd base modulo 2**64 under two bases, mixed into one 64-bit
-value, so the hash of any [start, end) costs two look-ups once the prefix sums of a chunk are known.
+A substring hash is a polynomial over two prime fields, mixed into one 64-bit value, so the hash of any
+[start, end) costs two look-ups once the prefix sums of a chunk are known.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ CHUNK_BYTES = 1 << 20
 #: Bytes of an Arrow batch between JVM and worker; both hold several at a time.
 BATCH_BYTES = 4 << 20
 
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+# Two primes below 2**31 and a base for each.
+_FIELDS = ((2_147_483_647, 1_103_515_245), (2_147_483_629, 1_664_525_017))
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: 1 where a lower-cased byte belongs to a word of digits, a-z and non-ASCII bytes.
@@ -52,17 +53,18 @@ def give_back() -> None:
     _trim(0)
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _tables.get(base)
+def _powers(prime: int, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    have = _tables.get(prime)
     if have is None or len(have[0]) < n:
         size = max(n, CHUNK_BYTES + 4096)
-        inverse = pow(base, -1, 1 << 64)
         both = []
-        for b in (base, inverse):
-            t = np.full(size, b, np.uint64)
-            t[0] = 1
-            both.append(np.multiply.accumulate(t))
-        have = _tables[base] = (both[0], both[1])
+        for b in (base, pow(base, -1, prime)):
+            t = np.ones(1, np.uint64)
+            while len(t) < size:
+                step = np.uint64(pow(b, len(t), prime))
+                t = np.concatenate([t, t * step % np.uint64(prime)])
+            both.append(t[:size])
+        have = _tables[prime] = (both[0], both[1])
     return have
 
 
@@ -76,23 +78,25 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class PrefixHash:
-    """Hashes of substrings of one byte array."""
+    """Hashes of substrings of one byte array: polynomials over two prime fields, mixed into 64 bits.
+
+    Two strings of at most n bytes hash alike with a probability of about (n / 2**31)**2; powers of two give no
+    pattern, as the moduli are prime.
+    """
 
     def __init__(self, data: np.ndarray):
         n = len(data)
         self.sums = []
         plus = data.astype(np.uint64) + np.uint64(1)
-        for base in _BASES:
-            power, inverse = _powers(base, n + 1)
+        for prime, base in _FIELDS:
+            power, inverse = _powers(prime, base, n + 1)
             c = np.zeros(n + 1, np.uint64)
-            np.cumsum(plus * power[:n], out=c[1:])
-            self.sums.append((c, inverse))
+            np.cumsum(plus * power[:n] % np.uint64(prime), out=c[1:])
+            self.sums.append((np.uint64(prime), c, inverse))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        (c1, i1), (c2, i2) = self.sums
-        a = (c1[end] - c1[start]) * i1[start]
-        b = (c2[end] - c2[start]) * i2[start]
-        return mix(a ^ mix(b))
+        a, b = ((c[end] - c[start]) % p * i[start] % p for p, c, i in self.sums)
+        return mix(a << np.uint64(31) ^ mix(b + (end - start).astype(np.uint64)))
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -8,7 +8,7 @@ The model is fitted on at most about ``MAX_TRAIN`` labelled rows, taken by a has
 does not depend on the corpus. Scoring reads every whole text.
 
 Defined results: a text without words (null, empty) has the score of the fitted bias; unlabelled, null
-and held-out labels are not learnt from; without any label the score is below one half; repeated rows
+and held-out labels are not learnt from; a document with unequal labels counts as toxic; without any label the score is below one half; repeated rows
 give repeated results; other columns are ignored.
 """
 
@@ -37,8 +37,6 @@ class Ftrl:
     l1: float = 6.0
     l2: float = 0.0
     epochs: int = 8
-    #: A coordinate is learnt once so many sampled rows hold it.
-    min_rows: int = 4
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,11 +58,6 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _fit(rows: list[np.ndarray], labels: list[int], how: Ftrl) -> tuple[np.ndarray, np.ndarray, float]:
     """rows: distinct coordinates of each text. Coordinates with a weight, their weights, and the bias."""
-    seen_in = np.zeros(1 << BITS, np.int32)
-    for r in rows:
-        seen_in[r] += 1
-    for i, r in enumerate(rows):
-        rows[i] = r[seen_in[r] >= how.min_rows]
     y = np.asarray(labels, float)
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     bias, seen = float(np.log((y.sum() + 0.1) / (len(y) - y.sum() + 1.0))), 1.0
@@ -96,7 +89,7 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", how: Ftrl = Ftrl(), max_train: int = MAX_TRAIN) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights (coordinates, values) and bias from a bounded sample of the labelled rows that are not held out."""
     bound_batches(docs.sparkSession)
-    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id"))).dropDuplicates(["id"])
+    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
     n = rows.count()
     share = min(1.0, max_train / max(1, n))
     if share < 1:
