@@ -2,7 +2,10 @@
 
 A stage takes the documents that the one before it kept. Toxic documents, all but one of each group of
 near duplicates, and documents that hold benchmark passages go; secrets are replaced by a mark; the rest
-is encoded. Each stage's rows are written as Parquet and read again.
+is encoded. Each stage's rows are written as Parquet and read again, and what it needed besides is deleted.
+
+Defined results: a null text is empty (clean, linked with nothing, without tokens); rows of one doc_id are one document,
+rows of a null doc_id are documents of their own; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontamination, minhash, secrets, toxicity
-from tidemark.llm.storage import fresh_path
+from tidemark.llm.storage import cleared, fresh_path, materialize
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -28,7 +31,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _unpacked(toxicity.score(_packed(docs), model, keep=("row",)).where("score < 0.5"), docs)
 
 
+def _one_row_each(docs: DataFrame) -> DataFrame:
+    """Rows of one doc_id are one document: of several the least by a hash of the text, then by all columns, stays. Rows without id are not compared."""
+    repeated = materialize(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return docs
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), F.struct(*docs.columns).alias("row")))
+    first = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(least.alias("least"))
+    return docs.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(first.select("least.row.*"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = _one_row_each(docs)
     found = minhash.near_duplicates(docs)
     return docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
@@ -68,6 +82,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = fresh_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with cleared(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
