@@ -24,7 +24,8 @@ def is_true(condition: Column) -> Column:
 
 
 def clamp(x: Column, least: float, most: float) -> Column:
-    return F.greatest(F.lit(least), F.least(F.lit(most), x))
+    """``x`` held to the bounds; a null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(least), F.least(F.lit(most), x)))
 
 
 def utc_milliseconds(ts: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import once
 
-# What a JSON token of each kind looks like.
+# What a JSON token of each kind looks like, and (below, in ``Field.valid``) where a field's token stands in the payload.
 _TOKENS = {"text": r'^"(?:[^"\\]|\\.)*"$', "integer": r"^-?(?:0|[1-9][0-9]*)$", "number": r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?$"}
 
 
@@ -78,8 +78,9 @@ class Contract:
 
             return once(read, fields)
 
-        # the payload is parsed once and every field is judged once; the rules read the results
-        rows = rows.withColumn("_judged", once(F.col(raw), judged))
+        # the payload is parsed once and every field is judged once; the rules read the results. A generator of one row keeps
+        # a later filter on them from being pushed below, where it would judge everything again
+        rows = rows.select("*", F.call_function("stack", F.lit(1), once(F.col(raw), judged)).alias("_judged"))
         return rows.withColumns({"parsed": F.col("_judged.parsed"), "rejection_reasons": F.col("_judged.reasons")}).drop("_judged")
 
     def _reasons(self, keys: Column, parsed: Column, ok: Column, expected: Column) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import clamp
 from tidemark.operators.ordered import ONE_TASK, null_safe_join, running
 
 
@@ -23,10 +25,14 @@ def threshold_sweep(rows: DataFrame, label: str, score: str, steps: int = 100, d
     """Metrics at 0.01 .. 0.99 (decision score >= threshold).
 
     Each row falls into the bucket of the highest threshold it reaches; one aggregation over buckets and a
-    cumulative sum over at most 100 rows replace the product of rows and thresholds.
+    cumulative sum over at most 100 rows replace the product of rows and thresholds. Rows without score (null,
+    NaN) or label count nowhere.
     """
-    # scores are compared on six digits, where a product with the steps is exact
-    bucket = F.greatest(F.lit(0), F.least(F.lit(steps - 1), F.floor(F.round(F.col(score) * steps, 4)))).cast("int")
+    rows = rows.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(label).isNotNull())
+    # a product may round to the other side of a threshold, so the score itself is compared with its neighbours
+    near = F.greatest(F.lit(-1), F.least(F.lit(steps), F.floor(F.col(score) * steps)))
+    reached = near + F.when(F.col(score) < near / F.lit(float(steps)), -1).when(F.col(score) >= (near + 1) / F.lit(float(steps)), 1).otherwise(0)
+    bucket = F.greatest(F.lit(0), F.least(F.lit(steps - 1), reached)).cast("int")
     counts = rows.select(bucket.alias("b"), (F.col(label) == 1).alias("y")).groupBy("b").agg(F.count_if("y").alias("p"), F.count_if(~F.col("y")).alias("q"))
     grid = rows.sparkSession.range(0, steps).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").select("b", F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("q", F.lit(0)).alias("q"))
     above = Window.orderBy(F.col("b").desc())
@@ -112,8 +118,16 @@ def grouped(contributions: DataFrame, row: str, feature: Column, value: str, dig
 
 
 def normalised_scores(rows: DataFrame, raw: str, low: float, high: float, digits: int = 5) -> DataFrame:
-    """(high - x) / (high - low), held to 0..1."""
-    return rows.withColumn("anomaly_score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(high) - F.col(raw)) / F.lit(high - low))), digits))
+    """(high - x) / (high - low), held to 0..1; null for no value. Bounds must be finite and rising."""
+    if not (math.isfinite(low) and math.isfinite(high) and low < high):
+        raise ValueError("the least reference value must lie below the greatest")
+    return rows.withColumn("anomaly_score", F.round(clamp((F.lit(high) - F.col(raw)) / F.lit(high - low), 0.0, 1.0), digits))
+
+
+def shared_ids(rows: DataFrame, unique: str, split: str = "split") -> DataFrame:
+    """Ids that stand in more than one split, with the splits."""
+    found = rows.groupBy(unique).agg(F.sort_array(F.collect_set(split)).alias("splits")).where(F.size("splits") > 1)
+    return found.select(unique, F.concat_ws(",", "splits").alias("splits"))
 
 
 def representatives(rows: DataFrame, score: str, key: str, boundary: float) -> DataFrame:

@@ -29,7 +29,7 @@ def partition_inconsistencies(rows: DataFrame, entity: str, partition: str) -> D
 
 
 # Words that say nothing about a question.
-STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "what", "which", "with")
+STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "is", "it", "of", "on", "or", "the", "to", "what", "with")
 
 
 def _found(query: Column, text: str) -> Column:

@@ -79,15 +79,17 @@ def top_correlations(lineitem: DataFrame) -> DataFrame:
     return profile.strongest(profile.correlations(lineitem, _NUM), "l_extendedprice")
 
 
-@query("SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_empty, count(i) - count(DISTINCT i) AS repeated_ids, count(*) FILTER (WHERE i IS NOT NULL AND try_cast(i AS BIGINT) IS NULL) AS bad_i, count(*) FILTER (WHERE v IS NOT NULL AND try_cast(v AS DOUBLE) IS NULL) AS bad_v FROM (SELECT CAST(event_id AS VARCHAR) AS i, CASE WHEN event_id % 9 = 0 THEN 'n/a' ELSE CAST(value AS VARCHAR) END AS v FROM events)")
+@query("SELECT count(*) AS n_rows, count(*) FILTER (WHERE trim(coalesce(i, '')) = '') + count(*) FILTER (WHERE trim(coalesce(v, '')) = '') AS n_empty, count(i) - count(DISTINCT i) AS repeated_ids, count(*) FILTER (WHERE i IS NOT NULL AND try_cast(i AS BIGINT) IS NULL) AS bad_i, count(*) FILTER (WHERE v IS NOT NULL AND try_cast(v AS DOUBLE) IS NULL) AS bad_v FROM (SELECT CAST(event_id AS VARCHAR) AS i, CASE WHEN event_id % 9 = 0 THEN 'n/a' WHEN event_id % 9 = 1 THEN ' ' WHEN event_id % 9 > 2 THEN CAST(value AS VARCHAR) END AS v FROM events)")
 def raw_contract(events: DataFrame) -> DataFrame:
-    rows = events.select(F.col("event_id").cast("string").alias("i"), F.when(F.col("event_id") % 9 == 0, "n/a").otherwise(F.col("value").cast("string")).alias("v"))
+    rows = events.select(F.col("event_id").cast("string").alias("i"), F.when(F.col("event_id") % 9 == 0, "n/a").when(F.col("event_id") % 9 == 1, " ").when(F.col("event_id") % 9 > 2, F.col("value").cast("string")).alias("v"))
     return profile.raw_contract(rows, "i", {"i": "bigint", "v": "double"})
 
 
-@query("SELECT id AS o_custkey FROM range(0, 1500) t(id) WHERE id NOT IN (SELECT o_custkey FROM orders)")
-def id_coverage(orders: DataFrame) -> DataFrame:
-    return profile.id_gaps(orders, "o_custkey", 0, 1499)
+@query("SELECT id AS o_custkey FROM (SELECT unnest(range((SELECT min(c_custkey) FROM customer), (SELECT max(c_custkey) + 1 FROM customer))) AS id) WHERE id NOT IN (SELECT o_custkey FROM orders)")
+def id_coverage(orders: DataFrame, customer: DataFrame) -> DataFrame:
+    """Ids of the customers' whole range that no order has."""
+    first, last = customer.agg(F.min("c_custkey"), F.max("c_custkey")).first()
+    return profile.id_gaps(orders, "o_custkey", first if first is not None else 0, last if last is not None else -1)
 
 
 _REF, _CUR = "event_id % 2 = 0", "event_id % 2 = 1"
@@ -141,6 +143,17 @@ def threshold_sweep(labels: DataFrame, documents: DataFrame) -> DataFrame:
     return evaluation.threshold_sweep(_scored(labels, documents), "quality", "score")
 
 
+_ODD = "s AS (SELECT quality, CASE WHEN doc_id % 11 <> 0 THEN (n_chars % 100) / 100.0::DOUBLE - 0.000000001::DOUBLE * (doc_id % 2) END AS score FROM labels JOIN documents USING (doc_id))"
+
+
+@query(f"WITH {_SWEEP.replace(_SCORED, _ODD)} SELECT * FROM w")
+def threshold_sweep_odd(labels: DataFrame, documents: DataFrame) -> DataFrame:
+    """Scores on and just below thresholds, and missing ones."""
+    score = F.when(F.col("doc_id") % 11 != 0, (F.col("n_chars") % 100) / 100 - F.lit(1e-9) * (F.col("doc_id") % 2))
+    rows = labels.join(documents.select("doc_id", "n_chars"), "doc_id").select("quality", score.alias("score"))
+    return evaluation.threshold_sweep(rows, "quality", "score")
+
+
 @query(f"WITH {_SCORED}, k AS (SELECT count(*) FILTER (WHERE quality = 1 AND score >= 0.14) AS tp, count(*) FILTER (WHERE quality <> 1 AND score >= 0.14) AS fp, count(*) FILTER (WHERE quality = 1 AND score < 0.14) AS fn, count(*) FILTER (WHERE quality <> 1 AND score < 0.14) AS tn FROM s) SELECT *, {_RATES} FROM k")
 def confusion(labels: DataFrame, documents: DataFrame) -> DataFrame:
     return evaluation.confusion(_scored(labels, documents), "quality", "score", 0.14)
@@ -181,12 +194,12 @@ def fold_assign(labels: DataFrame) -> DataFrame:
     return evaluation.folds(labels.select("doc_id", "quality"), "quality", _mix(), 5)
 
 
-@query("SELECT CAST(0 AS BIGINT) AS shared_ids")
-def split_disjoint(labels: DataFrame) -> DataFrame:
-    s = evaluation.stratified_split(labels.select("doc_id", "quality"), "quality", _mix(), [("train", 0.7), ("validation", 0.15), ("test", 0.15)])
-    ids = lambda name: s.where(F.col("split") == name).select("doc_id")
-    both = ids("train").intersect(ids("validation")).union(ids("train").intersect(ids("test"))).union(ids("validation").intersect(ids("test")))
-    return both.agg(F.count("*").alias("shared_ids"))
+@query("SELECT o_custkey, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM (SELECT o_custkey, CASE WHEN o_orderkey % 10 < 7 THEN 'train' WHEN o_orderkey % 10 < 9 THEN 'validation' ELSE 'test' END AS split FROM orders) GROUP BY 1 HAVING count(DISTINCT split) > 1")
+def split_disjoint(orders: DataFrame) -> DataFrame:
+    """Customers whose orders stand in more than one split; orders are split, so many do."""
+    m = F.col("o_orderkey") % 10
+    split = F.when(m < 7, "train").when(m < 9, "validation").otherwise("test")
+    return evaluation.shared_ids(orders.select("o_custkey", split.alias("split")), "o_custkey")
 
 
 _PARTS = "(SELECT vec_id, label, 'f' || lpad(CAST(i AS VARCHAR), 2, '0') AS feature, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings, range(0, 64) t(i))"
@@ -207,9 +220,10 @@ def grouped_contributions(embeddings: DataFrame) -> DataFrame:
     return evaluation.grouped(_contributions(embeddings), "vec_id", F.substring("feature", 1, 2), "x")
 
 
-@query("SELECT event_id, round(greatest(0.0, least(1.0, (150.0 - value) / (150.0 - 5.0))), 5) AS anomaly_score FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 9 <> 0 AND value IS NOT NULL THEN round(greatest(0.0, least(1.0, (150.0 - value) / (150.0 - 5.0))), 5) END AS anomaly_score FROM events")
 def score_normalise(events: DataFrame) -> DataFrame:
-    return evaluation.normalised_scores(events.select("event_id", "value"), "value", 5.0, 150.0).select("event_id", "anomaly_score")
+    rows = events.select("event_id", F.when(F.col("event_id") % 9 != 0, F.col("value")).alias("value"))
+    return evaluation.normalised_scores(rows, "value", 5.0, 150.0).select("event_id", "anomaly_score")
 
 
 @query("SELECT (SELECT event_id FROM events ORDER BY value, event_id LIMIT 1) AS lowest, (SELECT event_id FROM events ORDER BY value DESC, event_id LIMIT 1) AS highest, (SELECT event_id FROM events ORDER BY abs(value - 50), event_id LIMIT 1) AS closest")
@@ -232,12 +246,13 @@ def partition_check(events: DataFrame) -> DataFrame:
     return sequence.partition_inconsistencies(events.withColumn("p", F.col("event_id") % 3), "user_id", "p")
 
 
-_STOP = "[" + ", ".join(map(repr, sequence.STOPWORDS)) + "]"
-_QUERY = ("erly", "on", "anre", "src3", "tion")
+_STOP = "['a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'from', 'is', 'it', 'of', 'on', 'or', 'the', 'to', 'what', 'with']"
+_QUERY = ("erly", "on", "anre", "src3", "tion", "in", "this")
+_ASKED = f"list_filter({list(_QUERY)!r}, lambda q: NOT list_contains({_STOP}, q))"
 _TOKENS = "list_filter(list_distinct(regexp_extract_all(lower({c}), '[a-z0-9_]+')), lambda x: NOT list_contains(" + _STOP + ", x))"
 
 
-@query(f"WITH d AS (SELECT doc_id, {_TOKENS.format(c='source')} AS t, {_TOKENS.format(c='text')} AS c FROM documents) SELECT doc_id, len(list_intersect({list(_QUERY)!r}, list_distinct(list_concat(t, c)))) + 1.5 * len(list_intersect({list(_QUERY)!r}, t))::DOUBLE AS score FROM d WHERE len(list_intersect({list(_QUERY)!r}, list_distinct(list_concat(t, c)))) > 0 ORDER BY score DESC, doc_id LIMIT 10")
+@query(f"WITH d AS (SELECT doc_id, {_TOKENS.format(c='source')} AS t, {_TOKENS.format(c='text')} AS c FROM documents) SELECT doc_id, len(list_intersect({_ASKED}, list_distinct(list_concat(t, c)))) + 1.5 * len(list_intersect({_ASKED}, t))::DOUBLE AS score FROM d WHERE len(list_intersect({_ASKED}, list_distinct(list_concat(t, c)))) > 0 ORDER BY score DESC, doc_id LIMIT 10")
 def lexical_retrieval(documents: DataFrame) -> DataFrame:
     return sequence.retrieve(documents, _QUERY, "source", "text", "doc_id", 10)
 

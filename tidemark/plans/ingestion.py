@@ -225,9 +225,27 @@ def latest_per_entity(events: DataFrame) -> DataFrame:
     return dedup.latest(events, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "ts", "event_type", "value")
 
 
-@query()
+@query("SELECT 'MCH-' || lpad(CAST(m AS VARCHAR), 4, '0') AS machine_code, CAST(100 AS BIGINT) AS events, CAST(1 AS BIGINT) AS first_number, CAST(100 AS BIGINT) AS last_number, CAST(0 AS BIGINT) AS rejected, CAST(0 AS BIGINT) AS foreign_ids, '2024-01-01T00:08:15.000Z' AS last_time FROM range(1, 11) t(m)")
 def simulated_telemetry(spark) -> DataFrame:
-    return simulator.events(spark, 10, 100)
+    """What the contract and the recomputed ids say about simulated events, per machine."""
+    sent = simulator.as_json(simulator.events(spark, 10, 100)).select(F.col("key").alias("kafka_key"), F.col("value").alias("raw_value"))
+    judged = contract.TELEMETRY.validate(sent)
+    p = lambda c: F.col(f"parsed.{c}")
+    own = simulator.event_id(p("machine_code"), p("sequence_number"), p("event_time"))
+    return judged.groupBy(p("machine_code").alias("machine_code")).agg(
+        F.count("*").alias("events"), F.min(p("sequence_number")).alias("first_number"), F.max(p("sequence_number")).alias("last_number"),
+        F.count_if(F.size("rejection_reasons") > 0).alias("rejected"), F.count_if(~p("event_id").eqNullSafe(own)).alias("foreign_ids"), F.max(p("event_time")).alias("last_time"),
+    )
+
+
+_NAME = "'1.0|MCH-' || lpad(CAST(user_id % 100 + 1 AS VARCHAR), 4, '0') || '|' || event_id || '|2024-01-01T00:00:00.000Z'"
+
+
+@query(f"""WITH h AS (SELECT event_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode({_NAME})) AS d FROM events)
+SELECT event_id, substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d, 14, 3) || '-' || CASE CAST('0x' || substr(d, 17, 1) AS INTEGER) & 3 WHEN 0 THEN '8' WHEN 1 THEN '9' WHEN 2 THEN 'a' ELSE 'b' END || substr(d, 18, 3) || '-' || substr(d, 21, 12) AS uuid FROM h""")
+def event_identity(events: DataFrame) -> DataFrame:
+    code = F.concat(F.lit("MCH-"), F.lpad((F.col("user_id") % 100 + 1).cast("string"), 4, "0"))
+    return events.select("event_id", simulator.event_id(code, F.col("event_id"), F.lit("2024-01-01T00:00:00.000Z")).alias("uuid"))
 
 
 @query("SELECT event_id AS kafka_offset, CAST(user_id AS VARCHAR) AS kafka_key, props AS raw_value, sha256(props) AS payload_sha256 FROM events")

@@ -61,16 +61,21 @@ def delivery_check(orders: DataFrame) -> DataFrame:
 
 
 @query("""WITH w AS (SELECT user_id, time_bucket(INTERVAL '1 minute', ts) AS s, count(*) AS c FROM events GROUP BY 1, 2)
-SELECT count(*) AS entity_rows, count(DISTINCT user_id) AS entities, CAST(sum(n) AS BIGINT) AS entity_events, (SELECT count(*) FROM w) AS window_rows, CAST(0 AS BIGINT) AS repeated_windows, (SELECT CAST(sum(c) AS BIGINT) FROM w) AS window_events, CAST(1 AS BIGINT) AS fleet_rows, (SELECT count(*) FROM events) AS fleet_events, true AS holds FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)""")
+SELECT count(*) AS entity_rows, count(DISTINCT user_id) AS entities, CAST(sum(n) AS BIGINT) AS entity_events, (SELECT count(*) FROM w) AS window_rows, (SELECT count(*) FROM (SELECT user_id, s FROM w GROUP BY 1, 2 HAVING count(*) > 1)) AS repeated_windows, (SELECT CAST(sum(c) AS BIGINT) FROM w) AS window_events, (SELECT count(*) FROM (SELECT count(*) FROM events)) AS fleet_rows, (SELECT count(*) FROM events) AS fleet_events, sum(n) = (SELECT count(*) FROM events) AND (SELECT sum(c) FROM w) = (SELECT count(*) FROM events) AS holds FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)""")
 def summary_invariants(events: DataFrame) -> DataFrame:
     entities = summary.entity_summary(events, "user_id", "ts", "event_id", "event_type", _TYPES, ["value"], ["ts", "event_id"], ["event_id"])
     windows = summary.entity_windows(events, "user_id", "ts", "1 minute", "event_type", _TYPES, ["value"])
     return inspection.summary_invariants(entities, windows, summary.fleet_summary(events, "all", "user_id", "event_id", "ts", "event_type", _TYPES, ["value"]), "user_id")
 
 
-@query("SELECT count(*) AS source_rows, count(*) AS export_rows, count(DISTINCT event_id) AS export_ids, '' AS leaked_fields, true AS holds FROM events")
+_EXPORT = "SELECT event_id // 2 AS event_id, value FROM events WHERE event_id % 50 <> 0"
+
+
+@query(f"SELECT (SELECT count(*) FROM events) AS source_rows, count(*) AS export_rows, count(DISTINCT event_id) AS export_ids, 'value' AS leaked_fields, (SELECT count(*) FROM events) = count(*) AND count(DISTINCT event_id) = count(*) AND false AS holds FROM ({_EXPORT})")
 def export_parity(events: DataFrame) -> DataFrame:
-    return inspection.export_parity(events, events.select("event_id", F.struct("value", "event_type").alias("model_input")), "event_id", ["user_id", "value", "event_type"])
+    """An export with missing rows, repeated ids and a field that it must not have."""
+    export = events.where("event_id % 50 <> 0").select(F.floor(F.col("event_id") / 2).alias("event_id"), "value")
+    return inspection.export_parity(events, export, "event_id", ["user_id", "value", "event_type"])
 
 
 _MIX = "(doc_id * 7919) % 10007, doc_id"
@@ -133,11 +138,11 @@ def prediction_records(orders: DataFrame) -> DataFrame:
     return rows.select(F.col("o_orderkey").alias("event_id"), scalars.canonical_sha256(["custkey", "status", "note"]).alias("model_input_sha256"), p.alias("failure_probability"), (p >= 0.14).cast("int").alias("failure_prediction"), F.lit(0.14).alias("frozen_threshold"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN 'p' || event_id END AS prediction, CASE WHEN event_id % 4 <> 0 THEN event_type END AS model_name FROM events WHERE event_type = 'error'")
+@query("SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN 'p' || event_id END AS prediction, CASE WHEN event_id % 4 <> 0 THEN event_type END AS model_name FROM events")
 def nested_documents(events: DataFrame) -> DataFrame:
     model = F.when(F.col("event_id") % 4 != 0, F.col("event_type"))
     nested = serving.nested_when(model, name=model, prediction=F.concat(F.lit("p"), F.col("event_id").cast("string")))
-    docs = events.where("event_type = 'error'").select("event_id", nested.alias("latest"))
+    docs = events.select("event_id", nested.alias("latest"))
     return docs.select("event_id", "latest.prediction", F.col("latest.name").alias("model_name"))
 
 
