@@ -54,6 +54,17 @@ def numeric_drift(reference: DataFrame, current: DataFrame, features: Sequence[s
     return out.select("feature", "reference_count", "current_count", "outside_count", *numbers, status(F.col("psi")).alias("status"))
 
 
+def category_shares(reference: DataFrame, current: DataFrame, column: str, domain: Sequence[str], digits: int = 6) -> DataFrame:
+    """Per category of the domain its share of all rows on either side (0 for a side without rows)."""
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        one = rows.agg(F.count("*").alias("n"), *(F.count_if(F.col(column) == v).alias(f"c{i}") for i, v in enumerate(domain)))
+        share = lambda i: F.round(F.coalesce(F.try_divide(F.col(f"c{i}").cast("double"), F.col("n")), F.lit(0.0)), digits)
+        return one.select(F.inline(F.array(*(F.struct(F.lit(v).alias("category"), share(i).alias(name)) for i, v in enumerate(domain)))))
+
+    return side(reference, "reference").join(side(current, "current"), "category")
+
+
 def categorical_drift(reference: DataFrame, current: DataFrame, column: str, domain: Sequence[str], digits: int = 6) -> DataFrame:
     """One row: PSI over the fixed domain (shares of all rows, unexpected ones included), and how many values were unexpected."""
 

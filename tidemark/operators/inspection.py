@@ -76,12 +76,14 @@ def export_parity(source: DataFrame, export: DataFrame, unique: str, excluded: S
 
 
 def split_integrity(rows: DataFrame, unique: str, label: Column, shares: Mapping[str, float], tolerance: float = 0.01) -> DataFrame:
-    """Per split: rows, share of all, positive rate, and whether size (within a row per class) and rate (within the tolerance) are as planned."""
+    """Per split: rows, share of all, positive rate, and whether size (within a row per class) and rate (within the tolerance) are as planned and no id stands twice or in another split."""
     per = rows.groupBy("split").agg(F.count("*").alias("n"), F.count_distinct(unique).alias("ids"), F.count_if(label).alias("positives"))
     whole = rows.agg(F.count("*").alias("_all"), F.count_if(label).alias("_pos"))
+    elsewhere = rows.groupBy(unique).agg(F.collect_set("split").alias("_in")).where(F.size("_in") > 1).select(F.explode("_in").alias("split")).groupBy("split").agg(F.count("*").alias("_shared"))
+    per = per.join(elsewhere, "split", "left")
     plan = F.create_map(*(F.lit(x) for kv in shares.items() for x in kv))
     rate = F.col("positives") / F.col("n")
-    fits = (F.abs(F.col("n") - plan[F.col("split")] * F.col("_all")) <= 2) & (F.abs(rate - F.col("_pos") / F.col("_all")) <= tolerance) & (F.col("n") == F.col("ids"))
+    fits = (F.abs(F.col("n") - plan[F.col("split")] * F.col("_all")) <= 2) & (F.abs(rate - F.col("_pos") / F.col("_all")) <= tolerance) & (F.col("n") == F.col("ids")) & F.col("_shared").isNull()
     return per.join(F.broadcast(whole)).select("split", "n", "positives", F.round(rate, 6).alias("rate"), F.coalesce(fits, F.lit(False)).alias("holds"))
 
 

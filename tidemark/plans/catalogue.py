@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import analysis, ingestion, reports, serving
+from tidemark.plans import analysis, audits, ingestion, reports, serving
 
-_PARTS = (ingestion, serving, analysis, reports)
+_PARTS = (ingestion, serving, analysis, reports, audits)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
