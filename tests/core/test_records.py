@@ -5,9 +5,9 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import contract, evaluation, inspection, merge, records, reports, sequence, serving, tools
-from tidemark.plans import audits
-from tidemark.sources import scratch, simulator
+from tidemark.operators import contract, evaluation, inspection, merge, profile, records, reports, sequence, serving, tools
+from tidemark.plans import audits, catalogue
+from tidemark.sources import scratch, simulator, tables
 
 
 def test_mapping_names_what_is_missing(spark):
@@ -139,3 +139,31 @@ def test_scratch_tables_go_and_kept_ones_stay(spark):
     name = f"test-{uuid.uuid4().hex}"
     assert scratch.kept(spark, name, lambda: [(1,)], "x int").count() == 1
     assert scratch.kept(spark, name, lambda: 1 / 0, "x int").first().x == 1
+
+
+def test_a_query_name_used_twice_is_an_error():
+    with pytest.raises(ValueError):
+        catalogue._merged([{"a": 1}, {"a": 2}])
+    assert catalogue._merged([{"a": 1}, {"b": 2}]) == {"a": 1, "b": 2}
+
+
+def test_raw_fields_and_header(spark):
+    rows = spark.createDataFrame([("1", "0", "x"), ("007", "2", "NaN"), ("1.0", None, "-3e2"), (" ", "1 ", "Infinity"), (None, "", "5")], "i string, b string, v string")
+    got = {r.feature: tuple(r)[1:] for r in profile.raw_fields(rows, {"i": ("integer", 2, 9), "b": ("binary", 0, 1), "v": ("number", 0, 9)}).collect()}
+    assert got == {"i": (2, 1, 1.0, 7.0, 1), "b": (2, 1, 0.0, 1.0, 0), "v": (0, 3, -300.0, 5.0, 1)}
+    none = profile.raw_fields(rows.limit(0), {"i": ("integer", 0, 1)}).first()
+    assert tuple(none) == ("i", 0, 0, None, None, 0)
+    assert profile.header_faults(["a", "c", "b", "a", "z"], ["a", "b", "c", "d"]) == {"missing": ["d"], "unexpected": ["z"], "repeated": ["a"], "misplaced": ["c", "b"]}
+
+
+def test_differing_values_counts_nulls(spark):
+    a = spark.createDataFrame([(1, "x"), (2, None), (3, None), (4, "y"), (5, "x")], "k int, v string")
+    b = spark.createDataFrame([(1, "x"), (2, "x"), (3, None), (4, "z")], "k int, v string")
+    assert sorted(tuple(r) for r in inspection.differing_values(a, b, "k", "v").collect()) == [(2, None, "x"), (4, "y", "z")]
+
+
+def test_documents_with_repeated_ids_are_refused(spark, tmp_path):
+    path = tmp_path / "d.json"
+    path.write_text('[{"i": 1, "t": "a"}, {"i": 1, "t": "b"}]')
+    with pytest.raises(ValueError):
+        tables.read_documents(spark, str(path), "i int, t string", "i")

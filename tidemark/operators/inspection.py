@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import differs
 from tidemark.operators.ordered import null_safe_join
 
 
@@ -48,6 +49,13 @@ def mismatches(rows: DataFrame, truth: DataFrame, keys: Sequence[str], columns:
     return null_safe_join(rows.select(*keys, *columns), other, keys).select(*keys, wrong.alias("differing")).where(F.size("differing") > 0)
 
 
+def differing_values(adapted: DataFrame, source: DataFrame, key: str, column: str) -> DataFrame:
+    """Keys of both tables whose value is not the source's, with both values."""
+    other = source.select(key, F.col(column).alias("source_value"))
+    both = adapted.select(key, F.col(column).alias("adapted_value")).join(other, key)
+    return both.where(differs(F.col("adapted_value"), F.col("source_value")))
+
+
 def delivery(expected: DataFrame, arrived: DataFrame, keys: Sequence[str], order: Sequence[str], payload: str) -> DataFrame:
     """Expected keys with ``state`` (matched, missing, differs) and how often they arrived; the first arrival counts, others are ignored."""
     first = arrived.groupBy(*keys).agg(F.count("*").alias("arrivals"), F.min_by(payload, F.struct(*order)).alias("_got"))

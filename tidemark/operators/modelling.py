@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.evaluation import folds
+from tidemark.sources.scratch import written
 
 
 def pipeline(kind: str, categorical: Sequence[str], numeric: Sequence[str], label: str, seed: int = 42) -> Pipeline:
@@ -49,7 +50,7 @@ def prior(rows: DataFrame, label: str) -> DataFrame:
 
 def out_of_fold(rows: DataFrame, make: Callable[[], Pipeline], label: str, order: Sequence[Column], keep: Sequence[str], k: int = 5) -> DataFrame:
     """Every row with the probability of a model that has not seen it."""
-    parted = folds(rows, label, order, k)
+    parted = written(folds(rows, label, order, k), "folds")  # read 2k times
     parts = []
     for i in range(k):
         model = make().fit(parted.where(F.col("fold") != i))

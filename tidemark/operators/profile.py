@@ -87,5 +87,33 @@ def raw_contract(rows: DataFrame, ids: str, columns: dict[str, str]) -> DataFram
     return rows.agg(F.count("*").alias("n_rows"), empty.alias("n_empty"), (F.count(ids) - F.count_distinct(ids)).alias("repeated_ids"), *bad)
 
 
+def raw_fields(rows: DataFrame, rules: dict[str, tuple[str, float, float]]) -> DataFrame:
+    """A row per text column: empty fields, fields not of their kind (integer, number, binary), extremes, fields out of their range (both ends allowed)."""
+
+    def one(c: str, kind: str, low: float, high: float) -> Column:
+        text = F.trim(c)
+        empty = F.coalesce(text, F.lit("")) == ""
+        number = text.try_cast("double")
+        of_kind = {"integer": text.rlike(r"^[+-]?[0-9]+$"), "number": ~F.isnan(number) & (F.abs(number) < float("inf")), "binary": text.isin("0", "1")}[kind]
+        fits = ~empty & F.coalesce(of_kind, F.lit(False))
+        return F.struct(
+            F.lit(c).alias("feature"),
+            F.count_if(empty).alias("empty"),
+            F.count_if(~empty & ~fits).alias("not_of_kind"),
+            F.min(F.when(fits, number)).alias("least"),
+            F.max(F.when(fits, number)).alias("greatest"),
+            F.count_if(fits & ~number.between(low, high)).alias("out_of_range"),
+        )
+
+    return rows.agg(F.array(*(one(c, *r) for c, r in rules.items())).alias("_all")).select(F.inline("_all"))
+
+
+def header_faults(header: Sequence[str], expected: Sequence[str]) -> dict[str, list[str]]:
+    """Names that a header lacks, has beyond the expected ones, has twice, or has in another order."""
+    missing, more = [c for c in expected if c not in header], [c for c in header if c not in expected]
+    both, wanted = [c for c in dict.fromkeys(header) if c in expected], [c for c in expected if c in header]
+    return {"missing": missing, "unexpected": more, "repeated": sorted({c for c in header if list(header).count(c) > 1}), "misplaced": [a for a, b in zip(both, wanted, strict=True) if a != b]}
+
+
 def id_gaps(rows: DataFrame, column: str, first: int, last: int) -> DataFrame:
     return rows.sparkSession.range(first, last + 1).withColumnRenamed("id", column).join(rows.select(F.col(column).cast("bigint").alias(column)), column, "left_anti")

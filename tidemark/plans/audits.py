@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import dedup, drift, evaluation, records, reports, summary, tools
+from tidemark.functions import scalars
+from tidemark.operators import dedup, drift, evaluation, inspection, profile, records, reports, summary, tools
 from tidemark.plans.registry import registry
+from tidemark.sources import tables
 from tidemark.sources.scratch import fresh_path
+from tidemark.streaming import bronze
 
 QUERIES, SQL, query = registry()
 
@@ -208,3 +211,54 @@ _EDGES = "(SELECT count(*) FROM events WHERE event_type = '{k}' AND event_id % 2
 @query(" UNION ALL ".join(f"SELECT '{k}' AS category, round({_EDGES.format(k=k, m=0)}, 6) AS reference, round({_EDGES.format(k=k, m=1)}, 6) AS current" for k in _TYPES))
 def category_proportions(events: DataFrame) -> DataFrame:
     return drift.category_shares(events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1"), "event_type", _TYPES)
+
+
+@query("SELECT a.o_orderkey, a.v AS adapted_value, s.o_orderstatus AS source_value FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'O' WHEN o_orderkey % 13 <> 0 THEN o_orderstatus END AS v FROM orders) a JOIN orders s USING (o_orderkey) WHERE a.v IS DISTINCT FROM s.o_orderstatus")
+def type_mismatches(orders: DataFrame) -> DataFrame:
+    """An adapter's rows whose kind is no longer the source's."""
+    status = F.when(F.col("o_orderkey") % 11 == 0, "O").when(F.col("o_orderkey") % 13 != 0, F.col("o_orderstatus"))
+    return inspection.differing_values(orders.withColumn("o_orderstatus", status), orders, "o_orderkey", "o_orderstatus")
+
+
+@query("""WITH t AS (SELECT o_custkey, o_orderdate AS d, o_totalprice AS p, o_orderkey AS k FROM orders WHERE o_orderkey % 2 = 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_totalprice DESC, o_orderkey DESC) = 1)
+SELECT o.o_orderkey FROM orders o JOIN t USING (o_custkey) WHERE o.o_orderkey % 2 = 1 AND (o.o_orderdate > d OR (o.o_orderdate = d AND (o.o_totalprice > p OR (o.o_totalprice = p AND o.o_orderkey > k))))""")
+def newer_rows(orders: DataFrame) -> DataFrame:
+    """Staged rows that are newer than their entity's latest one by (date, price, key)."""
+    order = ("o_orderdate", "o_totalprice", "o_orderkey")
+    latest = orders.where("o_orderkey % 2 = 0").groupBy("o_custkey").agg(F.max(F.struct(*order)).alias("latest"))
+    staged = orders.where("o_orderkey % 2 = 1").join(latest, "o_custkey")
+    return staged.where(scalars.tuple_newer([F.col(c) for c in order], [F.col(f"latest.{c}") for c in order])).select("o_orderkey")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def document_array(spark: SparkSession, nation: DataFrame) -> DataFrame:
+    """A JSON array of documents with unique ids, written by one task (a table of fixed size) and read back."""
+    path = fresh_path(spark, "documents")
+    nation.agg(F.to_json(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey")))).alias("value")).write.text(path)
+    return tables.read_documents(spark, path, "n_nationkey int, n_name string, n_regionkey int", "n_nationkey")
+
+
+@query("SELECT CAST(0 AS BIGINT) AS batch_id, count(*) AS input_rows FROM events")
+def stream_progress(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
+    """What a finished stream says of its batches."""
+    rows = bronze.file_stream(spark, f"{sf_dir}/events.parquet*", events.schema, None)
+    run = bronze.append(rows.select("event_id"), fresh_path(spark, "progress"), fresh_path(spark, "progress-checkpoint"))
+    run.awaitTermination()
+    return spark.createDataFrame(bronze.progress(run), "batch_id bigint, input_rows bigint")
+
+
+_RAW = "SELECT CASE WHEN event_id % 17 = 0 THEN '1.5' ELSE CAST(event_id AS VARCHAR) END AS i, CASE event_id % 7 WHEN 0 THEN '2' WHEN 1 THEN ' ' ELSE CAST(event_id % 2 AS VARCHAR) END AS b, CASE event_id % 5 WHEN 0 THEN 'n/a' WHEN 1 THEN NULL ELSE CAST(value AS VARCHAR) END AS v FROM events"
+_FIELD = "SELECT '{c}' AS feature, count(*) FILTER (WHERE coalesce(trim({c}), '') = '') AS empty, count(*) FILTER (WHERE trim({c}) <> '' AND NOT ({ok})) AS not_of_kind, min(try_cast({c} AS DOUBLE)) FILTER (WHERE {ok}) AS least, max(try_cast({c} AS DOUBLE)) FILTER (WHERE {ok}) AS greatest, count(*) FILTER (WHERE {ok} AND try_cast({c} AS DOUBLE) NOT BETWEEN {low} AND {high}) AS out_of_range FROM t"
+_KINDS = (("i", "regexp_full_match(i, '[0-9]+')", 100, 5000), ("b", "b IN ('0', '1')", 0, 0), ("v", "try_cast(v AS DOUBLE) IS NOT NULL", 10, 90))
+
+
+@query(f"WITH t AS ({_RAW}) " + " UNION ALL ".join(_FIELD.format(c=c, ok=ok, low=low, high=high) for c, ok, low, high in _KINDS))
+def raw_fields(events: DataFrame) -> DataFrame:
+    """Text fields that are empty, not of their kind or out of range."""
+    n = F.col("event_id")
+    rows = events.select(
+        F.when(n % 17 == 0, "1.5").otherwise(n.cast("string")).alias("i"),
+        F.when(n % 7 == 0, "2").when(n % 7 == 1, " ").otherwise((n % 2).cast("string")).alias("b"),
+        F.when(n % 5 == 0, "n/a").when(n % 5 > 1, F.col("value").cast("string")).alias("v"),
+    )
+    return profile.raw_fields(rows, {"i": ("integer", 100, 5000), "b": ("binary", 0, 0), "v": ("number", 10, 90)})

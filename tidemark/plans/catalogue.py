@@ -11,9 +11,19 @@ from tidemark.plans import analysis, audits, ingestion, reports, serving
 _PARTS = (ingestion, serving, analysis, reports, audits)
 
 
+def _merged(parts: list[dict]) -> dict:
+    """One dict of all; a name that two modules use is an error, as one query would hide the other."""
+    found: dict = {}
+    for part in parts:
+        if twice := found.keys() & part.keys():
+            raise ValueError(f"registered twice: {sorted(twice)}")
+        found |= part
+    return found
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: q for part in _PARTS for name, q in part.QUERIES.items()}
+    return _merged([part.QUERIES for part in _PARTS])
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for part in _PARTS for name, sql in part.SQL.items()}
+    return _merged([part.SQL for part in _PARTS])

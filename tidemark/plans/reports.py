@@ -33,7 +33,7 @@ def anomaly_summary(events: DataFrame) -> DataFrame:
 
 
 @query("SELECT count(*) AS n_rows, count(event_id) - count(DISTINCT event_id) AS repeated_ids, count(*) FILTER (WHERE user_id IS NULL) AS null_user_id, count(*) FILTER (WHERE nullif(event_type, 'view') IS NULL) AS null_event_type, count(*) FILTER (WHERE event_id % 10 = 0) AS bad_numbers, count(DISTINCT user_id % 3) AS partitions FROM events")
-def canonical_report(events: DataFrame) -> DataFrame:
+def table_report(events: DataFrame) -> DataFrame:
     rows = events.select("event_id", "user_id", F.nullif("event_type", F.lit("view")).alias("event_type"), F.when(F.col("event_id") % 20 == 0, None).when(F.col("event_id") % 20 == 10, float("nan")).otherwise(F.col("value")).alias("value"), (F.col("user_id") % 3).alias("p"))
     return inspection.table_report(rows, "event_id", ["user_id", "event_type"], ["value"], ["p"])
 

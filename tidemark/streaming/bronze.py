@@ -40,3 +40,8 @@ def bronze(log: DataFrame) -> DataFrame:
 def append(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Everything that has arrived, exactly once, then stop."""
     return rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start()
+
+
+def progress(query: StreamingQuery) -> list[tuple[int, int]]:
+    """Id and input rows of the batches that had rows, as far back as the session keeps progress; the query has ended."""
+    return [(p["batchId"], p["numInputRows"]) for p in query.recentProgress if p["numInputRows"]]
