@@ -5,7 +5,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import contract, evaluation, inspection, merge, profile, records, reports, sequence, serving, tools
+from tidemark.operators import contract, drift, evaluation, inspection, merge, modelling, profile, records, reports, sequence, serving, tools
 from tidemark.plans import audits, catalogue
 from tidemark.sources import scratch, simulator, tables
 
@@ -167,3 +167,58 @@ def test_documents_with_repeated_ids_are_refused(spark, tmp_path):
     path.write_text('[{"i": 1, "t": "a"}, {"i": 1, "t": "b"}]')
     with pytest.raises(ValueError):
         tables.read_documents(spark, str(path), "i int, t string", "i")
+
+
+def test_a_candidate_is_promoted_on_the_unrounded_gain(spark):
+    one = lambda m, p, t: spark.createDataFrame([(m, p, t)], "model string, ap double, threshold double")
+    standing = one("fixed", 0.8, 0.3)
+    picked = lambda p: evaluation.promoted(standing, one("tuned", p, 0.6), "ap").first()
+    assert (picked(0.8051).selected, picked(0.8051).selected_threshold) == ("tuned", 0.6)
+    assert (picked(0.8049).selected, picked(0.8049).promoted) == ("fixed", False)
+    assert (picked(None).selected, picked(None).promoted) == ("fixed", False)
+
+
+def test_irregularities_of_missing_values(spark):
+    rows = [("a", 1, 1, "2024-01-01 00:00:00", 5), ("a", 2, 2, "2024-01-01 00:00:05", None), ("a", 3, None, None, 4), ("a", 4, 4, "2024-01-01 00:00:15", 3), ("b", 1, 2, "2024-01-01 00:00:00", 1)]
+    df = spark.createDataFrame(rows, "m string, o int, n int, t string, wear int")
+    got = {r.m: tuple(r)[1:] for r in sequence.irregularities(df, "m", ["o"], "n", "t", 5, "wear").collect()}
+    assert got == {"a": (4, 1, 1, 1), "b": (1, 1, 0, 0)}
+
+
+def test_input_faults_of_odd_payloads(spark):
+    texts = ['{"k":"a","x":1e999}', '{"k":"a","x":0}', "{}", "null", "", '{"k":"a","k":"b","x":1}', '{"k":"a","x":[1]}', '{"k":{"x":1},"x":123456789012345678901234567890}']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, p string")
+    got = {r.i: r.faults for r in records.input_faults(rows, "p", {"k": ("a",)}, ["x"], []).collect()}
+    assert got[0] in (["not_a_number:x"], ["not_an_object"])
+    assert got[1] == [] and got[2] == ["missing:k", "missing:x"] and got[3] == got[4] == ["not_an_object"]
+    assert got[6] == ["not_a_number:x"] and got[7] == ["not_text:k"] and got[5]
+
+
+def test_a_batch_of_records_must_be_one(spark):
+    df = lambda rows: spark.createDataFrame(rows, "e string, m string")
+    holds = lambda rows: records.batch_faults(df(rows), ["e", "m"], "e", ["m"]).first()
+    assert holds([("1", "a"), ("2", "a")]).holds
+    assert (holds([]).records, holds([]).holds) == (0, False)
+    assert (holds([("1", "a"), ("1", "b")]).repeated_ids, holds([("1", "a"), ("1", "b")]).models) == (1, 2)
+    assert holds([("1", "a"), ("1", "a")]).repeated_identities == 1
+
+
+def test_the_decision_is_on_the_unrounded_probability(spark):
+    rows = spark.createDataFrame([(1, 0.1399999), (2, 0.14), (3, None)], "i int, probability double")
+    got = [tuple(r) for r in modelling.inference_outputs(rows, 0.14).orderBy("i").collect()]
+    assert got == [(1, 0.14, 0, 0.14), (2, 0.14, 1, 0.14), (3, None, None, 0.14)]
+
+
+def test_drift_state_without_rows(spark):
+    s = spark.createDataFrame([], "snapshot_id int, h string")
+    m = spark.createDataFrame([(1, "x", "f", 0.5, "drift")], "snapshot_id int, scope string, feature_name string, psi double, status string")
+    got = drift.state_summary(s, m, ["h"], ["x"]).first()
+    assert (got.snapshot_count, got.feature_metric_count, got.drift, got.highest_x_feature_name, got.repeated_metrics) == (0, 0, 0, None, 0)
+
+
+def test_run_conflicts_name_each_key(spark):
+    schema = "run int, key string, value string"
+    stored = spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (2, "a", "x")], schema)
+    prepared = spark.createDataFrame([(1, "a", "z"), (1, "c", "y"), (3, "a", "x")], schema)
+    got = sorted(tuple(r) for r in records.run_conflicts(stored, prepared, ["run"]).collect())
+    assert got == [(1, "a", "x", "z"), (1, "b", "y", None), (1, "c", None, "y")]

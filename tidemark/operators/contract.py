@@ -101,6 +101,11 @@ def quarantine(validated: DataFrame) -> DataFrame:
     return validated.where(F.size("rejection_reasons") > 0)
 
 
+def quarantine_records(validated: DataFrame, lineage: Sequence[str], named: Sequence[str], raw: str = "raw_value") -> DataFrame:
+    """What is kept of a rejected row: where it came from, its raw payload, the ids that could be read, and why."""
+    return quarantine(validated).select(*lineage, raw, *(F.col(f"parsed.{c}").alias(c) for c in named), "rejection_reasons")
+
+
 def check_columns(rows: DataFrame, rules: Sequence[tuple[str, Column]]) -> DataFrame:
     """Table constraints by the same scheme: ``violations`` lists every rule that is not true (null passes, as in SQL CHECK)."""
     found = F.array(*(F.when(~F.coalesce(ok, F.lit(True)), F.lit(name)) for name, ok in rules))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,3 +86,18 @@ def overall(metrics: DataFrame) -> DataFrame:
     count = lambda s: F.count_if(F.col("status") == s).alias(f"n_{s}")
     first = F.min_by("feature", F.struct(-F.col("psi"), F.col("feature")))
     return metrics.agg(F.when(worst == 2, F.lit("drift")).when(worst == 1, F.lit("watch")).otherwise(F.lit("stable")).alias("overall_status"), count("stable"), count("watch"), count("drift"), first.alias("highest_psi_feature"), F.max("psi").alias("highest_psi"))
+
+
+def state_summary(snapshots: DataFrame, metrics: DataFrame, identity: Sequence[str], scopes: Sequence[str], snapshot: str = "snapshot_id") -> DataFrame:
+    """One row: snapshots, metrics per status, the highest PSI of each scope (ties go to the lesser name), and identities that occur twice.
+
+    ``metrics``: snapshot, scope, feature_name, psi, status; only those of the given snapshots count.
+    """
+    own = metrics.join(snapshots.select(snapshot).distinct(), snapshot, "left_semi")
+    twice = lambda rows, keys, name: rows.groupBy(*keys).count().agg(F.count_if(F.col("count") > 1).alias(name))
+    # the least of (-psi, name) is the highest PSI with the lesser name
+    best = lambda s: F.min(F.when((F.col("scope") == s) & F.col("psi").isNotNull(), F.struct((-F.col("psi")).alias("_down"), "feature_name", "psi", "status")))
+    counts = own.agg(F.count("*").alias("feature_metric_count"), *(F.count_if(F.col("status") == s).alias(s) for s in ("stable", "watch", "drift")), *(best(s).alias(f"_{s}") for s in scopes))
+    highest = [F.col(f"_{s}.{c}").alias(f"highest_{s}_{c}") for s in scopes for c in ("feature_name", "psi", "status")]
+    parts = [snapshots.agg(F.count("*").alias("snapshot_count")), counts.select("feature_metric_count", "stable", "watch", "drift", *highest), twice(snapshots, identity, "repeated_snapshots"), twice(own, [snapshot, "scope", "feature_name"], "repeated_metrics")]
+    return reduce(DataFrame.join, parts)

@@ -28,17 +28,28 @@ def threshold_sweep(rows: DataFrame, label: str, score: str, steps: int = 100, d
     cumulative sum over at most 100 rows replace the product of rows and thresholds. Rows without score (null,
     NaN) or label count nowhere.
     """
-    rows = rows.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(label).isNotNull())
+    return _sweep(rows.select(F.lit(score).alias("model"), F.col(label).alias("label"), F.col(score).cast("double").alias("score")), [score], steps, digits).drop("model")
+
+
+def model_sweeps(rows: DataFrame, label: str, scores: Sequence[str], steps: int = 100, digits: int = 6) -> DataFrame:
+    """``threshold_sweep`` of several models, each with its score column, in one pass over the rows: model, threshold and metrics."""
+    each = F.array(*(F.struct(F.lit(s).alias("model"), F.col(s).cast("double").alias("score")) for s in scores))
+    return _sweep(rows.select(F.col(label).alias("label"), F.inline(each)), scores, steps, digits)
+
+
+def _sweep(rows: DataFrame, models: Sequence[str], steps: int, digits: int) -> DataFrame:
+    rows = rows.where(F.col("score").isNotNull() & ~F.isnan("score") & F.col("label").isNotNull())
     # a product may round to the other side of a threshold, so the score itself is compared with its neighbours
-    near = F.greatest(F.lit(-1), F.least(F.lit(steps), F.floor(F.col(score) * steps)))
-    reached = near + F.when(F.col(score) < near / F.lit(float(steps)), -1).when(F.col(score) >= (near + 1) / F.lit(float(steps)), 1).otherwise(0)
+    near = F.greatest(F.lit(-1), F.least(F.lit(steps), F.floor(F.col("score") * steps)))
+    reached = near + F.when(F.col("score") < near / F.lit(float(steps)), -1).when(F.col("score") >= (near + 1) / F.lit(float(steps)), 1).otherwise(0)
     bucket = F.greatest(F.lit(0), F.least(F.lit(steps - 1), reached)).cast("int")
-    counts = rows.select(bucket.alias("b"), (F.col(label) == 1).alias("y")).groupBy("b").agg(F.count_if("y").alias("p"), F.count_if(~F.col("y")).alias("q"))
-    grid = rows.sparkSession.range(0, steps).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").select("b", F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("q", F.lit(0)).alias("q"))
-    above = Window.orderBy(F.col("b").desc())
-    every = Window.partitionBy()
-    grid = grid.select("b", F.sum("p").over(above).alias("tp"), F.sum("q").over(above).alias("fp"), F.sum("p").over(every).alias("all_p"), F.sum("q").over(every).alias("all_q")).where("b > 0")
-    return _rates(grid.select(F.round(F.col("b") / steps, 2).alias("threshold"), "tp", "fp", (F.col("all_p") - F.col("tp")).alias("fn"), (F.col("all_q") - F.col("fp")).alias("tn")), digits)
+    counts = rows.select("model", bucket.alias("b"), (F.col("label") == 1).alias("y")).groupBy("model", "b").agg(F.count_if("y").alias("p"), F.count_if(~F.col("y")).alias("q"))
+    grid = rows.sparkSession.range(0, steps).select(F.explode(F.array(*map(F.lit, models))).alias("model"), F.col("id").cast("int").alias("b"))
+    grid = grid.join(counts, ["model", "b"], "left").select("model", "b", F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("q", F.lit(0)).alias("q"))
+    every = Window.partitionBy("model")
+    above = every.orderBy(F.col("b").desc())
+    grid = grid.select("model", "b", F.sum("p").over(above).alias("tp"), F.sum("q").over(above).alias("fp"), F.sum("p").over(every).alias("all_p"), F.sum("q").over(every).alias("all_q")).where("b > 0")
+    return _rates(grid.select("model", F.round(F.col("b") / steps, 2).alias("threshold"), "tp", "fp", (F.col("all_p") - F.col("tp")).alias("fn"), (F.col("all_q") - F.col("fp")).alias("tn")), digits)
 
 
 def confusion(rows: DataFrame, label: str, score: str, threshold: float, digits: int = 6) -> DataFrame:
@@ -78,6 +89,18 @@ def simplest_within(models: DataFrame, name: str, metric: str, order: Sequence[s
     return models.join(F.broadcast(best)).where(F.col(metric) >= F.col("_best") - tolerance).agg(F.min_by(name, place).alias("selected"))
 
 
+def promoted(standing: DataFrame, candidate: DataFrame, metric: str, least_gain: float = 0.005, digits: int = 6) -> DataFrame:
+    """Of two one-row tables (model, metric, threshold) the one to use: the candidate only if its metric is higher by ``least_gain`` or more.
+
+    What was measured is compared, what is reported is rounded. A candidate without metric is not promoted.
+    """
+    both = standing.select(*(F.col(c).alias(f"_s_{c}") for c in ("model", metric, "threshold"))).join(candidate.select("model", metric, "threshold"))
+    gain = F.col(metric) - F.col(f"_s_{metric}")
+    better = F.coalesce(gain >= least_gain, F.lit(False))
+    pick = lambda c: F.when(better, F.col(c)).otherwise(F.col(f"_s_{c}"))
+    return both.select(F.round(f"_s_{metric}", digits).alias("standing_metric"), F.round(metric, digits).alias("candidate_metric"), F.round(gain, digits).alias("gain"), better.alias("promoted"), pick("model").alias("selected"), F.round(pick("threshold"), digits).alias("selected_threshold"))
+
+
 def metric_deltas(a: DataFrame, b: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:
     l = a.select(*(F.col(c).alias(f"_a_{c}") for c in columns))
     return l.join(b.select(*columns)).select(*(F.round(F.col(c) - F.col(f"_a_{c}"), digits).alias(f"delta_{c}") for c in columns))

@@ -64,6 +64,12 @@ def predictions(scored: DataFrame, threshold: float) -> DataFrame:
     return scored.withColumn("failure_prediction", (F.col("probability") >= threshold).cast("int")).withColumn("frozen_threshold", F.lit(threshold))
 
 
+def inference_outputs(scored: DataFrame, threshold: float, **identity: str) -> DataFrame:
+    """Outputs of batch inference: the probability to six digits, the decision on the unrounded one, the threshold, and the model's identity."""
+    p = F.col("probability").cast("double")
+    return scored.select(*(c for c in scored.columns if c != "probability"), F.round(p, 6).alias("failure_probability"), (p >= threshold).cast("int").alias("failure_prediction"), F.lit(threshold).alias("decision_threshold"), *(F.lit(v).alias(k) for k, v in identity.items()))
+
+
 #: Rows of one isolation tree.
 TREE_ROWS = 256
 

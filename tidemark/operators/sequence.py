@@ -24,6 +24,20 @@ def order_violations(rows: DataFrame, entity: str, arrival: Sequence[str], risin
     return marked.groupBy(entity).agg(F.count_if(F.coalesce("down", F.lit(False))).alias("violations"))
 
 
+def irregularities(rows: DataFrame, entity: str, arrival: Sequence[str], number: str, time: str, interval_s: float, rising: str) -> DataFrame:
+    """Per entity, in order of arrival: rows whose number is not 1, 2, .., whose time is not the first row's plus so many intervals, and whose value falls.
+
+    A missing number or time is irregular; a missing value is not, and the one after it is compared with nothing.
+    """
+    w = Window.partitionBy(entity).orderBy(*arrival)
+    place = F.row_number().over(w) - 1
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    off = at - F.first(at).over(w) - place.cast("bigint") * F.lit(round(interval_s * 1_000_000)).cast("bigint")
+    marked = rows.select(entity, F.col(number).eqNullSafe(place + 1).alias("next"), (off == 0).alias("timely"), (F.col(rising) < F.lag(rising).over(w)).alias("down"))
+    missed = lambda c: F.count_if(~F.coalesce(c, F.lit(False)))
+    return marked.groupBy(entity).agg(F.count("*").alias("n"), missed("next").alias("out_of_sequence"), missed("timely").alias("off_schedule"), F.count_if("down").alias("falls"))
+
+
 def partition_inconsistencies(rows: DataFrame, entity: str, partition: str) -> DataFrame:
     return rows.groupBy(entity).agg(F.count_distinct(partition).alias("partitions")).where("partitions > 1")
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import analysis, audits, ingestion, reports, serving
+from tidemark.plans import analysis, audits, ingestion, reports, scoring, serving
 
-_PARTS = (ingestion, serving, analysis, reports, audits)
+_PARTS = (ingestion, serving, analysis, reports, audits, scoring)
 
 
 def _merged(parts: list[dict]) -> dict:
