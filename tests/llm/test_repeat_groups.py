@@ -106,3 +106,18 @@ def test_a_scan_holds_no_members():
     tracemalloc.stop()
     assert [r["n"] for r in found] == [120_000]
     assert peak < 40 << 20
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_groups_cover_what_is_removed(spark):
+    """All occurrences of each group but the earliest are together the bytes that ``remove_repeats`` takes."""
+    from tidemark.llm import suffix_array
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    gone, seen = {}, set()
+    for r in sorted(repeat_groups.repeat_groups(docs).collect(), key=lambda r: (r.group_id, r.doc_id, r.start)):
+        if r.group_id in seen:
+            gone.setdefault(r.doc_id, set()).update(range(r.start, r.start + r.length))
+        seen.add(r.group_id)
+    removed = {r.doc_id: r.n_removed for r in suffix_array.remove_repeats(docs).where("n_removed > 0").collect()}
+    assert {k: len(v) for k, v in gone.items()} == removed
