@@ -173,6 +173,28 @@ def test_isolation_finds_the_odd_row(spark):
     assert got.i == 500
 
 
+def test_path_lengths_are_those_of_a_walk():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(300, 3)), np.zeros((40, 3)), [[np.nan, 1.0, np.nan]]])
+    forest = modelling.fit_isolation(x[:340], 20)
+
+    def walk(row):
+        total = 0.0
+        for nodes in forest:
+            at, depth = 0, 0
+            while nodes[at][0] is not None:
+                f, cut, left, right = nodes[at]
+                at, depth = (left if row[f] < cut else right), depth + 1
+            total += depth + modelling._expected(nodes[at][1])
+        return total
+
+    got = modelling.path_lengths(x, [modelling._flat(nodes) for nodes in forest])
+    assert np.allclose(got, [walk(row) for row in x], rtol=0, atol=1e-9)
+    assert len(modelling.path_lengths(x[:0], [modelling._flat(nodes) for nodes in forest])) == 0
+
+
 def test_isolation_trees_draw_from_all_rows(spark):
     # a third of the rows hold one value tuple; half of these are also exact copies of one row
     third = F.col("id") % 3 == 0

@@ -131,24 +131,40 @@ def _expected(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + np.euler_gamma) - 2 * (n - 1) / n, np.where(n == 2, 1.0, 0.0))
 
 
+def _flat(nodes: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """A tree in arrays: feature, cut, children (right at 2i, left at 2i + 1; a leaf is its own child), path length at leaves, height."""
+    n = len(nodes)
+    feature, cut, child = np.zeros(n, np.intp), np.zeros(n), np.repeat(np.arange(n), 2)
+    length, level = np.zeros(n), np.zeros(n, np.intp)
+    for at, node in enumerate(nodes):
+        if node[0] is None:
+            length[at] = level[at] + _expected(node[1])
+        else:
+            feature[at], cut[at], left, right = node
+            child[2 * at], child[2 * at + 1] = right, left
+            level[left] = level[right] = level[at] + 1
+    return feature, cut, child, length, int(level.max())
+
+
+def path_lengths(x: np.ndarray, forest: Sequence[tuple]) -> np.ndarray:
+    """Sum over the trees (``_flat``) of each row's path length; all rows go down one level at a time. A NaN is not below any cut."""
+    total, values = np.zeros(len(x)), np.ascontiguousarray(x).ravel()
+    row = np.arange(len(x)) * x.shape[1]
+    for feature, cut, child, length, height in forest:
+        node = np.zeros(len(x), np.intp)
+        for _ in range(height):
+            node = child[2 * node + (values[row + feature[node]] < cut[node])]
+        total += length[node]
+    return total
+
+
 def isolation_scores(rows: DataFrame, forest: list[list[tuple]], features: Sequence[str], size: int = TREE_ROWS) -> DataFrame:
     """``rows`` with ``isolation_score``: 0 to 1, higher for rows that fewer cuts set apart."""
-    sent = rows.sparkSession.sparkContext.broadcast(forest)
+    sent = rows.sparkSession.sparkContext.broadcast([_flat(nodes) for nodes in forest])
 
     def run(batches):
         for batch in batches:
-            x = batch[list(features)].to_numpy(float)
-            depth = np.zeros(len(x))
-            for nodes in sent.value:
-                stack = [(0, np.arange(len(x)), 0)]
-                while stack:
-                    at, who, d = stack.pop()
-                    node = nodes[at]
-                    if node[0] is None:
-                        depth[who] += d + _expected(node[1])
-                    elif len(who):
-                        left = x[who, node[0]] < node[1]
-                        stack += [(node[2], who[left], d + 1), (node[3], who[~left], d + 1)]
+            depth = path_lengths(batch[list(features)].to_numpy(float), sent.value)
             out = batch.copy()
             out["isolation_score"] = np.round(2.0 ** (-depth / max(1, len(sent.value)) / max(1e-9, float(_expected(size)))), 5)
             yield pd.DataFrame(out)
