@@ -222,3 +222,12 @@ def test_run_conflicts_name_each_key(spark):
     prepared = spark.createDataFrame([(1, "a", "z"), (1, "c", "y"), (3, "a", "x")], schema)
     got = sorted(tuple(r) for r in records.run_conflicts(stored, prepared, ["run"]).collect())
     assert got == [(1, "a", "x", "z"), (1, "b", "y", None), (1, "c", None, "y")]
+
+
+def test_rows_that_do_not_change_keep_their_time(spark):
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    target = spark.createDataFrame([(1, "a", None), (2, None, None), (3, "c", None), (4, "d", None)], "k int, v string, updated_at timestamp")
+    staged = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (9, "x")], "k int, v string")
+    got = {r.k: (r.v, r.updated_at is not None) for r in merge.touched(target, staged, ["k"], ["v"], at).collect()}
+    assert got == {1: ("a", False), 2: ("b", True), 3: (None, True), 4: ("d", False)}
+    assert merge.touched(target, staged, ["k"], ["v"]).where("k = 2").first().updated_at is not None

@@ -41,6 +41,16 @@ def upsert_latest(target: DataFrame, staged: DataFrame, keys: Sequence[str], ord
     return latest(target.unionByName(staged), keys, order)
 
 
+def touched(target: DataFrame, staged: DataFrame, keys: Sequence[str], payload: Sequence[str], at: Column | None = None, column: str = "updated_at") -> DataFrame:
+    """``target`` with the staged payload of its keys; ``column`` becomes ``at`` (now) where that changes a row and stays where nothing does. Staged keys are unique; those that the target lacks are left out."""
+    new = staged.select(*keys, *(F.col(c).alias(f"_new_{c}") for c in payload), F.lit(True).alias("_staged"))
+    rows = target.join(new, list(keys), "left")
+    differs = F.coalesce("_staged", F.lit(False)) & F.array_contains(F.array(*(~F.col(c).eqNullSafe(F.col(f"_new_{c}")) for c in payload)), True)
+    changed = {c: F.when(F.col("_staged"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in payload}
+    changed[column] = F.when(differs, F.current_timestamp() if at is None else at).otherwise(F.col(column))
+    return rows.select(*(changed.get(c, F.col(c)).alias(c) for c in target.columns))
+
+
 def alerts(flagged: Sequence[tuple[str, DataFrame, str, str]]) -> DataFrame:
     """(alert_type, rows, id column, flag column) to alert rows; a flag may be a boolean or one of true, t, 1 as text."""
     parts = [rows.where(F.lower(F.col(flag).cast("string")).isin("true", "t", "1")).select(F.lit(kind).alias("alert_type"), F.col(key).alias("source_id"), F.lit("open").alias("status")) for kind, rows, key, flag in flagged]

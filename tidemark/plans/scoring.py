@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import contract, drift, evaluation, modelling, records, sequence
+from tidemark.operators import contract, drift, evaluation, merge, modelling, records, sequence
 from tidemark.plans.ingestion import _CHECKED, _validated
 from tidemark.plans.registry import registry
 
@@ -130,3 +130,11 @@ def run_conflicts(orders: DataFrame) -> DataFrame:
     stored = named.where("o_orderkey % 7 <> 1").drop("o_orderkey")
     changed = named.withColumn("value", F.when(F.col("o_orderkey") % 5 == 0, "Z").otherwise(F.col("value")))
     return records.run_conflicts(stored, changed.where("o_orderkey % 7 <> 2 AND run % 3 <> 0").drop("o_orderkey"), ["run"])
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'F' END ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 3 = 0 AND o_orderstatus IS DISTINCT FROM CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'F' END THEN TIMESTAMP '2024-01-01 00:00:00' ELSE o_orderdate END AS updated_at FROM orders")
+def touched_rows(orders: DataFrame) -> DataFrame:
+    """Statuses set for some orders: only those that change get a new time."""
+    target = orders.select("o_orderkey", "o_orderstatus", F.col("o_orderdate").alias("updated_at"))
+    staged = orders.where("o_orderkey % 3 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 4 != 0, "F").alias("o_orderstatus"))
+    return merge.touched(target, staged, ["o_orderkey"], ["o_orderstatus"], F.lit("2024-01-01 00:00:00").cast("timestamp"))
